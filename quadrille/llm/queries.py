@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from quadrille.llm.quality import op6_quality
 from quadrille.llm.secrets import op4_secrets
+from quadrille.llm.sentencepiece_bpe import op2_sentencepiece
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_secrets": op4_secrets,
     "op6_quality": op6_quality,
 }
