@@ -5,10 +5,12 @@ from __future__ import annotations
 from quadrille.llm.quality import op6_quality
 from quadrille.llm.secrets import op4_secrets
 from quadrille.llm.sentencepiece_bpe import op2_sentencepiece
+from quadrille.llm.simhash import op5_simhash
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_secrets": op4_secrets,
+    "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
 }
 
