@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quadrille.llm.line_dedup import OP7_SQL, op7_line_dedup
 from quadrille.llm.quality import op6_quality
 from quadrille.llm.secrets import op4_secrets
 from quadrille.llm.sentencepiece_bpe import op2_sentencepiece
@@ -12,6 +13,9 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
+    "op7_line_dedup": op7_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_line_dedup": OP7_SQL,
+}
