@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quadrille.llm.line_dedup import OP7_SQL, op7_line_dedup
+from quadrille.llm.packing import op9_packing
 from quadrille.llm.quality import op6_quality
 from quadrille.llm.secrets import op4_secrets
 from quadrille.llm.sentencepiece_bpe import op2_sentencepiece
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL = {
