@@ -8,8 +8,10 @@ from quadrille.llm.quality import op6_quality
 from quadrille.llm.secrets import op4_secrets
 from quadrille.llm.sentencepiece_bpe import op2_sentencepiece
 from quadrille.llm.simhash import op5_simhash
+from quadrille.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
@@ -19,5 +21,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_url_filter": OP1_SQL,
     "op7_line_dedup": OP7_SQL,
 }
