@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quadrille.llm.ann import op3_ann
 from quadrille.llm.line_dedup import OP7_SQL, op7_line_dedup
 from quadrille.llm.packing import op9_packing
 from quadrille.llm.quality import op6_quality
@@ -13,6 +14,7 @@ from quadrille.llm.url_filter import OP1_SQL, op1_url_filter
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_ann": op3_ann,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
