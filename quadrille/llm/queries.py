@@ -5,6 +5,7 @@ from __future__ import annotations
 from quadrille.llm.ann import op3_ann
 from quadrille.llm.html_text import op10_html_text
 from quadrille.llm.line_dedup import OP7_SQL, op7_line_dedup
+from quadrille.llm.lm_score import op8_lm_score
 from quadrille.llm.packing import op9_packing
 from quadrille.llm.quality import op6_quality
 from quadrille.llm.secrets import op4_secrets
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
+    "op8_lm_score": op8_lm_score,
     "op9_packing": op9_packing,
     "op10_html_text": op10_html_text,
 }
