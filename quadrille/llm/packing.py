@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,47 +33,91 @@ from quadrille.llm.common import as_bytes, map_texts, materialize
 
 CAPACITY = 2048
 END_ID = 0
-#: Words kept with their ids in each Python worker; then the store starts anew.
-CACHED_WORDS = 600_000
+#: Words kept with their ids in each Python worker.
+CACHED_WORDS = 1_000_000
 #: Pieces of a length that are ranked together.
 BUCKET_ROWS = 256
+#: A full stop or comma that is a token by itself.
+STOP = re.compile(rb"([a-z0-9])([.,])(?![^ \n])")
+#: Letters below this one are Latin.
+LATIN_END = "\u0250"
 
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
 
 class WordTokens:
-    """Token ids of texts, word by word: the tokenizer never joins across ASCII white space."""
+    """Token ids of texts, word by word: the tokenizer never joins across ASCII white space.
+
+    It also lower-cases, and takes a full stop or comma between a letter or
+    digit and white space by itself; so such words are stored only once.
+    """
 
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[bytes, bytes] = {}
 
+    def _ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words. One of Latin letters alone is one input of the tokenizer's model; others take its whole way."""
+        out: dict[bytes, bytes] = {}
+        other = []
+        for w in words:
+            if w.isalpha():  # bytes: ASCII letters only
+                letters = w.lower().decode()
+            elif (x := self.normalizer.normalize_str(w.decode())).isalpha() and max(x) < LATIN_END:
+                letters = self.byte_level.pre_tokenize_str(x)[0][0]
+            else:
+                other.append(w)
+                continue
+            out[w] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+        out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found))
+        return out
+
+    @staticmethod
+    def split(text: bytes) -> list[bytes]:
+        """Words; a text that may hold a special token (they are spelt with ``<|``) keeps its case."""
+        return text.split() if b"<|" in text else STOP.sub(rb"\1 \2", text.lower()).split()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of texts as little-endian unsigned 32-bit numbers, without special ids."""
-        split = [x.split() for x in texts]
+        """Ids of texts as little-endian unsigned 32-bit numbers, without special ids.
+
+        The first words met are the commonest, so they stay in the store when
+        it is full, and others are encoded for their slice alone.
+        """
+        split = [self.split(x) for x in texts]
         new = list(set().union(*split) - self.words.keys())
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words = {}
-            new = list(set().union(*split))
+        known, room = self.words, CACHED_WORDS - len(self.words)
+        if len(new) > room:
+            known = {w: self.words[w] for w in set().union(*split).intersection(self.words)}
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-        return [b"".join(map(self.words.__getitem__, x)) for x in split]
+            part = self._ids(new[at : at + 4096])
+            known.update(part)
+            if known is not self.words and len(self.words) < CACHED_WORDS:
+                self.words.update(part)
+        return [b"".join(map(known.__getitem__, x)) for x in split]
+
+
+@lru_cache(maxsize=2)
+def word_tokens(path: str | None) -> WordTokens:
+    """One store for all tasks of a Python worker."""
+    return WordTokens(path)
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every document; with its ``ids`` on request."""
 
     def make():
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
         end = np.array([END_ID], "<u4").tobytes()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
