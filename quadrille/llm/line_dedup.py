@@ -155,7 +155,8 @@ def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, doc_id: str =
     picked = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     suspects = materialize(map_texts(picked, make, "doc_id long, key string"))
     exact = suspects.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= least_docs)
-    return suspects.join(exact.select("key", "first"), "key")
+    # As a table of its own, the join can deal out the rows of a very common line.
+    return suspects.join(materialize(exact.select("key", "first")), "key")
 
 
 def line_dedup(docs: DataFrame, least_docs: int = LEAST_DOCS, keep: str = "none", doc_id: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
