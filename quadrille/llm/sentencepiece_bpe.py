@@ -30,8 +30,8 @@ from quadrille.llm.common import map_texts
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words kept with their ids in each Python worker; then the store starts anew.
-CACHED_WORDS = 600_000
+#: Words kept with their ids in each Python worker.
+CACHED_WORDS = 1_000_000
 NONE = np.int64(1) << 40
 
 
@@ -209,14 +209,21 @@ class PieceTable:
         return words
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts, as the library gives them without begin and end."""
+        """Ids of texts, as the library gives them without begin and end.
+
+        The first words met are the commonest, so they stay in the store when
+        it is full, and others are encoded for this call alone.
+        """
         split = [self.split(x) for x in texts]
-        new = list(set().union(*split) - self.words.keys()) if split else []
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words = {}
-            new = list(set().union(*split))
-        self.words.update(zip(new, (x.tobytes() for x in self.encode_words(new))))
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, x)), np.int32) for x in split]
+        every = set().union(*split)
+        new = list(every - self.words.keys())
+        found = dict(zip(new, (x.tobytes() for x in self.encode_words(new))))
+        if len(self.words) + len(new) <= CACHED_WORDS:
+            self.words.update(found)
+            found = self.words
+        else:
+            found.update((w, self.words[w]) for w in every.intersection(self.words))
+        return [np.frombuffer(b"".join(map(found.__getitem__, x)), np.int32) for x in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes that are no UTF-8 become replacement characters, each by itself."""
