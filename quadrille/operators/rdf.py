@@ -12,6 +12,16 @@ from quadrille.sources.elements import Elements
 # Names of the vocabularies used.
 TYPE, IDENTIFIER, LAT, LONG, SUBJECT, SEE_ALSO = "rdf:type", "dcterms:identifier", "geo:lat", "geo:long", "dc:subject", "rdfs:seeAlso"
 ACTIVITY, ENDED, AGENT, COMMENT = "prov:Activity", "prov:endedAtTime", "prov:wasAssociatedWith", "rdfs:comment"
+PREFIXES = {
+    "rdf:": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
+    "rdfs:": "http://www.w3.org/2000/01/rdf-schema#",
+    "dc:": "http://purl.org/dc/elements/1.1/",
+    "dcterms:": "http://purl.org/dc/terms/",
+    "geo:": "http://www.w3.org/2003/01/geo/wgs84_pos#",
+    "prov:": "http://www.w3.org/ns/prov#",
+    "skos:": "http://www.w3.org/2004/02/skos/core#",
+    "xsd:": "http://www.w3.org/2001/XMLSchema#",
+}
 COLUMNS = ("s", "p", "o", "o_kind", "o_datatype")
 
 
@@ -52,8 +62,14 @@ def merged(*graphs: DataFrame) -> DataFrame:
 
 
 def ntriples(triples: DataFrame, base: str) -> DataFrame:
-    """Lines of N-Triples (column value); names are made absolute with ``base``."""
-    iri = lambda c: F.concat(F.lit("<"), F.when(c.startswith("/"), F.concat(F.lit(base), c)).otherwise(c), F.lit(">"))
+    """Lines of N-Triples (column value); paths are made absolute with ``base``, the vocabulary's own names too."""
+
+    def iri(c: Column) -> Column:
+        full = F.when(c.startswith("/"), F.concat(F.lit(base), F.replace(c, F.lit(" "), F.lit("%20"))))
+        for prefix, name in {**PREFIXES, "osm:": f"{base}/vocab#"}.items():
+            full = full.when(c.startswith(prefix), F.concat(F.lit(name), F.substring(c, F.lit(len(prefix) + 1), F.length(c))))
+        return F.concat(F.lit("<"), full.otherwise(c), F.lit(">"))
+
     literal = F.concat(F.lit('"'), escaped(F.col("o"), LITERAL), F.lit('"'), F.coalesce(F.concat(F.lit("^^"), iri(F.col("o_datatype"))), F.lit("")))
     return triples.select(F.concat_ws(" ", iri(F.col("s")), iri(F.col("p")), F.when(F.col("o_kind") == "iri", iri(F.col("o"))).otherwise(literal), F.lit(".")).alias("value"))
 
