@@ -89,7 +89,7 @@ def pair_counts(train: DataFrame, classes) -> np.ndarray:
         for batch in batches:
             for x in as_bytes(batch.column(0)):
                 words = words_of(x)
-                known.update((w, own.get(w) or ending_class(w)) for w in set(words) - known.keys())
+                known.update((w, own.get(w) or ending_class(w)) for w in set(words).difference(known))
                 seq = np.array([END_CLASS, *map(known.__getitem__, words), END_CLASS], np.int64)
                 np.add.at(total, seq[:-1] * CLASSES + seq[1:], 1)
                 if len(known) > COUNTED_WORDS:
@@ -199,7 +199,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             texts = [words_of(x) for x in as_bytes(batch.column(2))]
             if len(number) > COUNTED_WORDS:
                 number = {}
-            meet(list(set().union(*texts) - number.keys()))
+            meet(list(set().union(*texts).difference(number)))
             for words in texts:
                 at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
                 seq, logs, is_common = kind[at], log[at], common[at]
