@@ -95,10 +95,11 @@ class WordTokens:
         it is full, and others are encoded for their slice alone.
         """
         split = [self.split(x) for x in texts]
-        new = list(set().union(*split) - self.words.keys())
+        every = set().union(*split)
+        new = list(every.difference(self.words))
         known, room = self.words, CACHED_WORDS - len(self.words)
         if len(new) > room:
-            known = {w: self.words[w] for w in set().union(*split).intersection(self.words)}
+            known = {w: self.words[w] for w in every if w in self.words}
         for at in range(0, len(new), 4096):
             part = self._ids(new[at : at + 4096])
             known.update(part)
