@@ -216,13 +216,13 @@ class PieceTable:
         """
         split = [self.split(x) for x in texts]
         every = set().union(*split)
-        new = list(every - self.words.keys())
+        new = list(every.difference(self.words))
         found = dict(zip(new, (x.tobytes() for x in self.encode_words(new))))
         if len(self.words) + len(new) <= CACHED_WORDS:
             self.words.update(found)
             found = self.words
         else:
-            found.update((w, self.words[w]) for w in every.intersection(self.words))
+            found.update((w, self.words[w]) for w in every if w in self.words)
         return [np.frombuffer(b"".join(map(found.__getitem__, x)), np.int32) for x in split]
 
     def decode(self, ids: np.ndarray) -> str:
