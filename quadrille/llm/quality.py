@@ -32,10 +32,10 @@ SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Name, value from the measures (integer), least width in the same unit, sides judged.
 RULES = {
-    "word_length": ("word_chars * 100 DIV n_words", 150, "both"),
-    "symbol_rate": ("n_symbols * 1000 DIV n_words", 50, "upper"),
+    "word_length": ("word_chars * 100 DIV greatest(n_words, 1)", 150, "both"),
+    "symbol_rate": ("n_symbols * 1000 DIV greatest(n_words, 1)", 50, "upper"),
     "dup_line_rate": ("n_dup_lines * 1000 DIV greatest(n_lines, 1)", 400, "upper"),
-    "repeat_rate": ("n_repeat_words * 1000 DIV n_words", 200, "upper"),
+    "repeat_rate": ("n_repeat_words * 1000 DIV greatest(n_words, 1)", 200, "upper"),
 }
 #: Documents that a sketch must hold to be used for its own group.
 LEAST_DOCS = 100
