@@ -84,12 +84,13 @@ def scores(texts: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def limit(labelled_scores: DataFrame) -> DataFrame:
-    """One row: the score, in hundredths, from which most accepted and fewest rejected urls lie (balanced accuracy)."""
+    """One row: the score from which most accepted and fewest rejected urls lie (balanced accuracy), halfway to the next lower score seen."""
     bins = labelled_scores.groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(*[F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(v) for v in ("allow", "block")])
     above = Window.orderBy(F.desc("bin"))  # a few hundred bins, whatever the data
     total = bins.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
     gain = F.sum("allow").over(above) * F.greatest(total.select("block").scalar(), F.lit(1)) - F.sum("block").over(above) * F.greatest(total.select("allow").scalar(), F.lit(1))
-    return bins.select("bin", gain.alias("gain")).orderBy(F.desc("gain"), F.abs("bin"), "bin").limit(1).select((F.col("bin") / 100).alias("limit"))
+    middle = (F.col("bin") + F.coalesce(F.lead("bin").over(above), F.col("bin"))) / 200
+    return bins.select("bin", gain.alias("gain"), middle.alias("limit")).orderBy(F.desc("gain"), F.abs("bin"), "bin").limit(1).select("limit")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -156,9 +157,9 @@ WITH parsed AS (
     SELECT floor(score * 100) AS bin, count(*) FILTER (WHERE verdict = 'allow') AS allow, count(*) FILTER (WHERE verdict = 'block') AS block
     FROM labelled JOIN scored USING (text) WHERE held_out GROUP BY 1
 ), gains AS (
-    SELECT bin, sum(allow) OVER w * greatest((SELECT sum(block) FROM bins), 1) - sum(block) OVER w * greatest((SELECT sum(allow) FROM bins), 1) AS gain FROM bins WINDOW w AS (ORDER BY bin DESC)
+    SELECT bin, sum(allow) OVER w * greatest((SELECT sum(block) FROM bins), 1) - sum(block) OVER w * greatest((SELECT sum(allow) FROM bins), 1) AS gain, (bin + coalesce(lead(bin) OVER w, bin)) / 200 AS lim FROM bins WINDOW w AS (ORDER BY bin DESC)
 ), least AS (
-    SELECT bin / 100 AS lim FROM gains ORDER BY gain DESC, abs(bin), bin LIMIT 1
+    SELECT lim FROM gains ORDER BY gain DESC, abs(bin), bin LIMIT 1
 )
 SELECT page_id, host, path, nullif(split_part(found, ':', 1), '') AS rule,
        coalesce(nullif(split_part(found, ':', 2), ''), CASE WHEN score >= coalesce((SELECT lim FROM least), 0) THEN 'allow' ELSE 'block' END) AS verdict
