@@ -1 +1 @@
-
+"""Whole queries and graph patterns."""

@@ -1 +1 @@
-
+"""Readers of element data."""

@@ -1 +1 @@
-
+"""No streaming operators: the functions this library covers have none. Element tables may still be read as streams by Spark itself."""
