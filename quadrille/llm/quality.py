@@ -176,3 +176,55 @@ def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sour
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     """Per document: the measures, the base rule's verdict and the method's."""
     return quality_table(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines")
+
+
+def _sql() -> str:
+    def value(rule: str) -> str:
+        return RULES[rule][0].replace("DIV", "//")
+
+    values = "\n        UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {value(r)} AS v FROM measured WHERE NOT base_failed" for r in RULES)
+    least = " ".join(f"WHEN '{r}' THEN {v[1]}" for r, v in RULES.items())
+    both = ", ".join(f"'{r}'" for r, v in RULES.items() if v[2] == "both")
+    fits = " AND ".join(f"coalesce({value(r)} >= (SELECT low FROM limits t WHERE t.lang IS NOT DISTINCT FROM m.lang AND t.source IS NOT DISTINCT FROM m.source AND rule = '{r}'), true) AND coalesce({value(r)} <= (SELECT high FROM limits t WHERE t.lang IS NOT DISTINCT FROM m.lang AND t.source IS NOT DISTINCT FROM m.source AND rule = '{r}'), true)" for r in RULES)
+
+    def ranges(keys: str) -> str:
+        by = f"{keys}, rule" if keys else "rule"
+        return f"""SELECT {by}, max(total) AS total, CASE WHEN rule IN ({both}) THEN min(v) FILTER (WHERE up_to >= ceil(total * {LOW}e0)) - {REACH} * greatest(min(v) FILTER (WHERE up_to >= ceil(total * {MIDDLE}e0)) - min(v) FILTER (WHERE up_to >= ceil(total * {LOW}e0)), 0) - CASE rule {least} END END AS low,
+            min(v) FILTER (WHERE up_to >= ceil(total * {HIGH}e0)) + {REACH} * (min(v) FILTER (WHERE up_to >= ceil(total * {HIGH}e0)) - min(v) FILTER (WHERE up_to >= ceil(total * {MIDDLE}e0))) + CASE rule {least} END AS high
+        FROM (SELECT {by}, CASE WHEN b < 64 THEN b ELSE (b - (b // 32 - 1) * 32) << (b // 32 - 1) END AS v, sum(n) OVER (PARTITION BY {by}) AS total, sum(n) OVER (PARTITION BY {by} ORDER BY b) AS up_to
+              FROM (SELECT {by}, b, sum(n) AS n FROM counts GROUP BY {by}, b)) GROUP BY {by}"""
+
+    return rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents
+), split AS (
+    SELECT *, regexp_extract_all(t, '[^ \x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')) AS lines FROM docs
+), windows AS (
+    SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(words[i:i + 4], ' ')) AS seen
+    FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM split WHERE len(words) >= 5)
+), repeats AS (
+    SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS place FROM windows WHERE seen > 1) GROUP BY rid
+), plain AS (
+    SELECT rid, doc_id, lang, source, len(words) AS n_words, length(regexp_replace(t, '[ \x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+           len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, len(lines) AS n_lines
+    FROM split LEFT JOIN repeats USING (rid)
+), measured AS (
+    SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed FROM plain
+), counts AS (
+    SELECT lang, source, rule, greatest(0, length(bin(v)) - 6) * 32 + (v >> greatest(0, length(bin(v)) - 6)) AS b, count(*) AS n
+    FROM (
+        {values}
+    ) GROUP BY ALL
+), own AS ({ranges("lang, source")}),
+by_lang AS ({ranges("lang")}),
+overall AS ({ranges("")}),
+limits AS (
+    SELECT o.lang, o.source, o.rule, CASE WHEN o.total >= {LEAST_DOCS} THEN o.low WHEN l.total >= {LEAST_DOCS} THEN l.low ELSE a.low END AS low,
+           CASE WHEN o.total >= {LEAST_DOCS} THEN o.high WHEN l.total >= {LEAST_DOCS} THEN l.high ELSE a.high END AS high
+    FROM own o LEFT JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = l.rule LEFT JOIN overall a ON o.rule = a.rule
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {fits} AS kept, n_lines FROM measured m
+"""
+
+
+OP6_SQL = _sql()

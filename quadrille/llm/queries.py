@@ -7,7 +7,7 @@ from quadrille.llm.html_text import op10_html_text
 from quadrille.llm.line_dedup import OP7_SQL, op7_line_dedup
 from quadrille.llm.lm_score import op8_lm_score
 from quadrille.llm.packing import op9_packing
-from quadrille.llm.quality import op6_quality
+from quadrille.llm.quality import OP6_SQL, op6_quality
 from quadrille.llm.secrets import op4_secrets
 from quadrille.llm.sentencepiece_bpe import op2_sentencepiece
 from quadrille.llm.simhash import op5_simhash
@@ -28,5 +28,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_url_filter": OP1_SQL,
+    "op6_quality": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
 }

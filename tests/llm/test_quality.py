@@ -1,12 +1,13 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quadrille.llm.quality import bucket, bucket_value, quality_filter, quality_table, text_measures
+from quadrille.llm.quality import OP6_SQL, bucket, bucket_value, op6_quality, quality_filter, quality_table, text_measures
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -56,3 +57,10 @@ def test_filter_keeps_columns_and_agrees(mixed):
     assert out.columns == mixed.columns
     kept = sorted(r.doc_id for r in quality_table(mixed).where("kept").collect())
     assert sorted(r.doc_id for r in out.collect()) == kept
+
+
+def test_query_agrees_with_its_sql(spark, mixed, tmp_path):
+    mixed.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, op6_quality(spark, str(tmp_path)).collect())) == sorted(db.sql(OP6_SQL).fetchall())
