@@ -104,6 +104,23 @@ def envelope(pts: Column | str) -> Column:
     return F.struct(side("lon", F.array_min).alias("west"), side("lat", F.array_min).alias("south"), side("lon", F.array_max).alias("east"), side("lat", F.array_max).alias("north"))
 
 
+def crosses_box(pts: Column | str, west: float, south: float, east: float, north: float) -> Column:
+    """Whether a line touches a box, also where no vertex lies inside: each segment is clipped by the box's two strips."""
+
+    def strip(a: Column, b: Column, low: float, high: float) -> tuple[Column, Column]:
+        flat = a == b
+        t, u = (F.lit(low) - a) / F.nullif(b - a, F.lit(0.0)), (F.lit(high) - a) / F.nullif(b - a, F.lit(0.0))
+        return F.when(flat, F.when(a.between(low, high), 0.0).otherwise(2.0)).otherwise(F.least(t, u)), F.when(flat, 1.0).otherwise(F.greatest(t, u))
+
+    def touches(s: Column) -> Column:
+        (x0, x1), (y0, y1) = strip(s["a"]["lon"], s["b"]["lon"], west, east), strip(s["a"]["lat"], s["b"]["lat"], south, north)
+        return F.greatest(x0, y0, F.lit(0.0)) <= F.least(x1, y1, F.lit(1.0))
+
+    first = F.try_element_at(col(pts), F.lit(1))
+    alone = (F.size(col(pts)) == 1) & first["lon"].between(west, east) & first["lat"].between(south, north)
+    return F.coalesce(alone, F.lit(False)) | F.exists(steps(pts), touches)
+
+
 # Text forms ------------------------------------------------------------------
 
 
@@ -130,6 +147,27 @@ def wkt(kind: Column, pts: Column, outers: Column, inners: Column) -> Column:
     )
 
 
+def parse_wkt(text: Column | str) -> Column:
+    """(kind, pts, rings) of a point, line string or polygon; an address of the reference system in front is skipped."""
+    body = F.trim(F.regexp_replace(col(text), r"^\s*<[^>]*>", ""))
+    kind = F.upper(F.regexp_extract(body, r"^([A-Za-z]+)", 1))
+    inside = F.regexp_extract(body, r"^[A-Za-z]+\s*\((.*)\)\s*$", 1)
+    pair = lambda p: point(F.try_element_at(F.split(F.trim(p), r"\s+"), F.lit(1)), F.try_element_at(F.split(F.trim(p), r"\s+"), F.lit(2)))
+    line = lambda t: F.transform(F.split(t, ","), pair)
+    rings = F.transform(F.split(F.regexp_replace(inside, r"^\s*\(|\)\s*$", ""), r"\)\s*,\s*\("), line)
+    name = F.when(kind == "POINT", "Point").when(kind == "LINESTRING", "LineString").when(kind == "POLYGON", "Polygon").otherwise("Empty")
+    none = F.array().cast("array<struct<lon:double,lat:double>>")
+    return F.struct(name.alias("kind"), F.when(kind.isin("POINT", "LINESTRING"), line(inside)).otherwise(none).alias("pts"), F.when(kind == "POLYGON", rings).otherwise(F.array().cast("array<array<struct<lon:double,lat:double>>>")).alias("rings"))
+
+
+def feature(id: Column, properties: list[tuple[str, Column]], tags: Column, geometry: Column) -> Column:
+    """A GeoJSON feature: given properties, then one for each tag, in order."""
+    field = lambda k, v: F.concat(F.regexp_extract(F.to_json(F.struct(k.alias("x"))), r'^\{"x":(.*)\}$', 1), F.lit(":"), F.regexp_extract(F.to_json(F.struct(v.alias("x"))), r'^\{"x":(.*)\}$', 1))
+    given = [field(F.lit(k), v) for k, v in properties]
+    rest = F.transform(tags, lambda t: field(F.concat(F.lit("/tag/"), t["k"]), t["v"]))
+    return F.concat(F.lit('{"type":"Feature","id":'), F.regexp_extract(F.to_json(F.struct(id.alias("x"))), r'^\{"x":(.*)\}$', 1), F.lit(',"properties":{'), F.array_join(F.concat(F.array(*given), rest), ","), F.lit('},"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit("}"))
+
+
 def _pairs(pts: Column) -> Column:
     return F.transform(pts, lambda p: F.array(p["lon"], p["lat"]))
 

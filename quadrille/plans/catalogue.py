@@ -95,6 +95,21 @@ def bbox_ways_any_node(e):
     return select.ways_in(e, BBOX).select("id")
 
 
+SMALL_BOX = (11.0305, 49.4005, 11.0335, 49.4015)
+
+
+@query(
+    """, placed AS (SELECT way_id AS id, seq, lon, lat, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, count(*) OVER (PARTITION BY way_id) AS n FROM way_nodes JOIN nodes ON node_id = nodes.id WINDOW w AS (PARTITION BY way_id ORDER BY seq)),
+    strips AS (SELECT id, CASE WHEN lon = lon2 THEN CASE WHEN lon BETWEEN 11.0305 AND 11.0335 THEN 0 ELSE 2 END ELSE least((11.0305 - lon) / (lon2 - lon), (11.0335 - lon) / (lon2 - lon)) END AS x0, CASE WHEN lon = lon2 THEN 1 ELSE greatest((11.0305 - lon) / (lon2 - lon), (11.0335 - lon) / (lon2 - lon)) END AS x1,
+        CASE WHEN lat = lat2 THEN CASE WHEN lat BETWEEN 49.4005 AND 49.4015 THEN 0 ELSE 2 END ELSE least((49.4005 - lat) / (lat2 - lat), (49.4015 - lat) / (lat2 - lat)) END AS y0, CASE WHEN lat = lat2 THEN 1 ELSE greatest((49.4005 - lat) / (lat2 - lat), (49.4015 - lat) / (lat2 - lat)) END AS y1 FROM placed WHERE lon2 IS NOT NULL)
+    SELECT DISTINCT id FROM strips WHERE greatest(x0, y0, 0) <= least(x1, y1, 1)""",
+    "nodes", "way_nodes",
+)
+def bbox_ways_crossing(e):
+    """Ways that cross a box between the grid's points."""
+    return assemble.way_lines(e).where(geo.crosses_box("pts", *SMALL_BOX)).select("id")
+
+
 @query(f"SELECT DISTINCT rel_id AS id FROM relation_members WHERE type = 'way' AND ref IN (SELECT way_id FROM way_nodes JOIN nodes ON node_id = id WHERE {BBOX_SQL})", "nodes", "way_nodes", "relation_members")
 def bbox_relations(e):
     return select.relations_in(e, BBOX).select("id")
@@ -703,18 +718,29 @@ def _written(df, form):
     return df.select("id", form(F.col("kind"), F.col("pts"), F.col("outers"), F.col("inners")).alias("value"))
 
 
+def wkt_lines_of(e):
+    return _written(assemble.way_geometries(e), geo.wkt)
+
+
 @query()
 def wkt_lines(e):
-    return _written(assemble.way_geometries(e), geo.wkt)
+    return wkt_lines_of(e)
 
 
 @query()
 def geojson_features(e):
-    """One GeoJSON feature for each way."""
-    g = assemble.way_geometries(e)
+    """One GeoJSON feature with its tags for each way."""
+    lists = e.way_tags.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "k", "v"))), lambda t: F.struct(t["k"].alias("k"), t["v"].alias("v"))).alias("tags"))
+    g = assemble.way_geometries(e).join(lists, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<struct<k:string,v:string>>")))
     geometry = geo.geojson(F.col("kind"), F.col("pts"), F.col("outers"), F.col("inners"))
-    head = F.concat(F.lit('{"type":"Feature","id":"/osm/way/'), F.col("id").cast("string"), F.lit('#id","properties":{"osm_type":"way","osm_id":'), F.col("id").cast("string"), F.lit('},"geometry":'))
-    return g.select("id", F.concat(head, geometry, F.lit("}")).alias("value"))
+    return g.select("id", geo.feature(rdf.subject(F.lit("way"), F.col("id")), [("osm_type", F.lit("way")), ("osm_id", F.col("id"))], F.col("tags"), geometry).alias("value"))
+
+
+@query(LINES + " SELECT id, kind, n FROM kinds", *GEO)
+def wkt_read_back(e):
+    """Ways written as text and read again: kind and number of points."""
+    read = wkt_lines_of(e).select("id", geo.parse_wkt("value").alias("g"))
+    return read.select("id", "g.kind", (F.size("g.pts") + F.aggregate("g.rings", F.lit(0), lambda a, r: a + F.size(r))).cast("long").alias("n"))
 
 
 @query()

@@ -107,3 +107,16 @@ def test_numbers():
         list(pbf.fields(b"\x0a\x05ab"))
     with pytest.raises(ValueError):
         pbf.check_header(field(1, field(4, b"HistoricalInformation")))
+
+
+def test_ntriples_and_statistics(spark):
+    from quadrille.sources import ntriples, statistics
+
+    lines = ['<a> <p> "x\\"y\\\\n\\n"@en .', "<a> <p> <b> . # c", "_:n <p> \"1\"^^<int> .", "", "# comment", "broken", "<a> <p> <b> ."]
+    got = sorted(tuple(r) for r in ntriples.parse(spark.createDataFrame([(x,) for x in lines], "value string")).collect())
+    assert got == sorted([("a", "p", 'x"y\\n\n', "literal", None, "en"), ("a", "p", "b", "iri", None, None), ("_:n", "p", "1", "literal", "int", None)])
+    one = lambda x: spark.createDataFrame([(x,)], "value string")
+    assert [tuple(r) for r in statistics.overview(one('{"data":[{"type":"all","count":5},{"type":"ways","count":0}]}')).collect()] == [("all", 5)]
+    items = '{"search":[{"id":"Q1","label":"amenity x","description":"no"},{"id":"Q2","label":"amenity","description":""}]}'
+    assert [tuple(r) for r in statistics.definition(one(items), "amenity").collect()] == [("Q2", None)]
+    assert statistics.definition(one(items), "shop").count() == 0
