@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import as_bytes, map_texts, materialize
+from quadrille.llm.quality import bucket
 
 FOLDS, HELD_OUT = 5, 1
 #: Classes: the end, the commonest words, and the endings that all others share.
@@ -79,6 +80,22 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def head_limit(counts: DataFrame) -> int:
+    """The least count of which at most HEAD_WORDS words have as much.
+
+    From a histogram with a bounded number of buckets, so that no task sends
+    its own commonest words.
+    """
+    rows = counts.groupBy(bucket(F.col("c")).cast("long").alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
+    seen, limit = 0, 1 << 62
+    for row in sorted(rows, key=lambda r: -r.b):
+        seen += row.n
+        if seen > HEAD_WORDS:
+            break
+        limit = row.least
+    return limit
+
+
 def pair_counts(train: DataFrame, classes) -> np.ndarray:
     """How often class b follows class a in the training texts (a text begins after an end); CLASSES squared, whatever the data."""
 
@@ -148,9 +165,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, vocabulary = tokens + n_docs, distinct + (n_docs > 0)
 
-    # The head: a fixed number of words. Ties go to the smaller word.
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD_WORDS).toPandas()
-    head = dict(zip(map(bytes, top["word"]), top["c"].astype(int).tolist()))
+    # The head, commonest first; ties go to the smaller word.
+    top = counts.where(F.col("c") >= head_limit(counts)).toPandas()
+    head = dict(sorted(zip(map(bytes, top["word"]), top["c"].astype(int).tolist()), key=lambda x: (-x[1], x[0])))
     own = {w: i + 1 for i, w in enumerate(list(head)[:OWN_CLASSES])}
     classes = spark.sparkContext.broadcast(own)
     table = train_model(pair_counts(train, classes))
