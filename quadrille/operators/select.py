@@ -47,7 +47,7 @@ def relations_in(e: Elements, bbox) -> DataFrame:
 def all_elements(e: Elements, kind: str = "nwr") -> DataFrame:
     """(type, id) of the wanted types: any of the letters of ``nwr``, or a type's name."""
     wanted = [t for t in TYPES if kind == t or (kind not in TYPES and t[0] in kind)]
-    if not wanted:
+    if kind not in TYPES and (not kind or set(kind) - set("nwr")):
         raise ValueError(f"no such type: {kind}")
     tables = {"node": e.nodes, "way": e.ways, "relation": e.relations}
     parts = [tables[t].select(F.lit(t).alias("type"), "id") for t in wanted]
