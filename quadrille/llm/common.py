@@ -6,16 +6,25 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.tables import materialize, shared_folder
 
-__all__ = ["as_bytes", "map_texts", "materialize", "shared_folder", "slices"]
+__all__ = ["as_bytes", "bound_batches", "map_texts", "materialize", "shared_folder", "slices"]
 
 #: Rows of one slice of an Arrow batch: bounds what a Python worker holds at once.
 SLICE_ROWS = 512
 #: Bytes of text after which a slice ends early, so that long texts don't pile up.
 SLICE_BYTES = 8 << 20
+#: Rows that Spark hands to a Python worker at once, where the session doesn't say.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long, so Spark's usual 10,000 rows would fill both the JVM's and the worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -39,6 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
 
 def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: str = "text") -> DataFrame:
     """``mapInArrow`` over text slices; ``make`` runs once in each task."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
@@ -46,5 +56,6 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             out = each(part)
             if out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, schema)

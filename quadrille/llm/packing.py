@@ -34,7 +34,7 @@ from quadrille.llm.common import as_bytes, map_texts, materialize
 CAPACITY = 2048
 END_ID = 0
 #: Words kept with their ids in each Python worker.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 250_000
 #: Pieces of a length that are ranked together.
 BUCKET_ROWS = 256
 #: A full stop or comma that is a token by itself.
