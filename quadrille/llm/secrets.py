@@ -31,11 +31,11 @@ ASSIGN_LEAST = 6
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 2, "secret": 3, "token": 2, "apikey": 3, "key": 1, "credential": 3, "credentials": 3, "auth": 1, "private": 2, "access": 1, "signing": 1, "encryption": 1, "bearer": 2, "salt": 1}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|your[_-].*|change[_-]?me|example|placeholder|none|null|true|false|todo|test|dummy|redacted|masked)$")
 
-#: An assignment sign; the name that stands before it; a literal or name that follows it.
+#: An assignment sign; the name that stands before it, read backwards; a literal or name that follows it. No length
+#: is bounded; matches give nothing back. Only chains such as a=b=c without white space are read once for each sign.
 SIGN = re.compile(r":=|=>|=(?![=~])|:(?![:/=])")
-BEFORE = re.compile(r"""(?a)(?<![\w.$-])(["']?)([A-Za-z_][\w.-]{0,79})\1[ \t]*$""")
-LOOK_BACK = 120
-TERM = re.compile(r"""(?a)(?:(?P<dq>"(?:[^"\\\n]|\\.){0,4096}")|(?P<sq>'(?:[^'\\\n]|\\.){0,4096}')|(?P<bq>`[^`\n]{0,4096}`)|(?P<word>[A-Za-z0-9_$+/][\w$+/.=~-]{0,4095}))""")
+BEFORE = re.compile(r"""(?a)\n?[ \t]*+(["']?)([\w.-]*[A-Za-z_])\1(?![\w.$-])""")
+TERM = re.compile(r"""(?a)(?:(?P<dq>"(?:[^"\\\n]|\\.)*+")|(?P<sq>'(?:[^'\\\n]|\\.)*+')|(?P<bq>`[^`\n]*+`)|(?P<word>[A-Za-z0-9_$+/][\w$+/.=~-]*+))""")
 JOINED = re.compile(r"[ \t]*\+[ \t]*")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -48,20 +48,26 @@ def name_score(name: str) -> int:
 
 
 def literal_score(text: str) -> float:
-    """Bits of entropy of all characters together; 0 for short or placeholder texts."""
-    if len(text) < 6 or PLACEHOLDER.match(text) or any(c.isspace() for c in text):
+    """Bits of entropy of all characters of the best part between white space together; 0 for short or placeholder texts."""
+    if PLACEHOLDER.match(text):
         return 0.0
-    n = len(text)
-    return -sum(c * math.log2(c / n) for c in Counter(text).values())
+    best = 0.0
+    for part in text.split():
+        n = len(part)
+        if n >= 6 and not PLACEHOLDER.match(part):
+            best = max(best, -sum(c * math.log2(c / n) for c in Counter(part).values()))
+    return best
 
 
 def lexed_pairs(text: str) -> list[tuple[str, int, int, str]]:
     """(name, start, end, literal): every literal that reaches a name, constants followed."""
     constants: dict[str, list[tuple[int, int, str]]] = {}
     found = []
+    back = text[::-1]
     for sign in SIGN.finditer(text):
-        if not (m := BEFORE.search(text[max(0, sign.start() - LOOK_BACK) : sign.start()])):
+        if not (m := BEFORE.match(back, len(text) - sign.start())):
             continue
+        name = m[2][::-1]
         pos = sign.end()
         while text[pos : pos + 1] in (" ", "\t"):
             pos += 1
@@ -77,8 +83,8 @@ def lexed_pairs(text: str) -> list[tuple[str, int, int, str]]:
                 break
             pos = plus.end()
         if got:
-            constants[m[2]] = got
-            found += [(m[2], *x) for x in got]
+            constants[name] = got
+            found += [(name, *x) for x in got]
     return found
 
 
