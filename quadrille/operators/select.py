@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,20 +91,26 @@ def around(e: Elements, lon: float, lat: float, radius: float = 100.0) -> DataFr
 
 
 def around_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Pairs (left_id, right_id, metres) of two tables (id, lon, lat) within ``radius`` metres, up to latitude 80.
+    """Pairs (left_id, right_id, metres) of two tables (id, lon, lat) within ``radius`` metres, anywhere on the globe.
 
-    Rows meet in cells as high as the radius and wide enough for it at 80
-    degrees; right rows stand in their own and the eight neighbouring cells.
+    Rows meet in cubes of the unit sphere's space as wide as the radius' chord;
+    right rows stand in their own and the 26 neighbouring cubes. So neither the
+    poles nor the 180 degree meridian are special.
     """
-    tall = radius / DEGREE
-    wide = tall / 0.17364817766693036
-    cell = lambda c, size: F.floor(F.col(c) / size)
-    a = left.select(F.col("id").alias("left_id"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), cell("lon", wide).alias("cx"), cell("lat", tall).alias("cy"))
-    shifts = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
+    # A little wider, so that rounding parts no pair.
+    size = 2 * math.sin(min(radius / (2 * EARTH_RADIUS), math.pi / 2)) * (1 + 1e-9) + 1e-12
+
+    def cube(lon: str, lat: str) -> list[Column]:
+        x, y = F.radians(lon), F.radians(lat)
+        return [F.floor(c / size) for c in (F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y))]
+
+    names = ["cx", "cy", "cz"]
+    a = left.select(F.col("id").alias("left_id"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), *[c.alias(n) for c, n in zip(cube("lon", "lat"), names)])
+    shifts = F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(ds, names)]) for ds in product((-1, 0, 1), repeat=3)])
     b = right.select(F.col("id").alias("right_id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.explode(shifts).alias("s"))
-    b = b.select("right_id", "lon2", "lat2", (cell("lon2", wide) + F.col("s.x")).alias("cx"), (cell("lat2", tall) + F.col("s.y")).alias("cy"))
+    b = b.select("right_id", "lon2", "lat2", *[(c + F.col(f"s.{n}")).alias(n) for c, n in zip(cube("lon2", "lat2"), names)])
     metres = haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return a.join(b, ["cx", "cy"]).select("left_id", "right_id", metres.alias("metres")).where(F.col("metres") <= radius)
+    return a.join(b, names).select("left_id", "right_id", metres.alias("metres")).where(F.col("metres") <= radius)
 
 
 def search(places: DataFrame, text: str, limit: int = 10) -> DataFrame:
