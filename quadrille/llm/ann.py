@@ -1,22 +1,30 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Vectors are scaled by the largest norm and lifted to the unit sphere (one more
-component), so that the largest inner product is the smallest distance. Each
-table hashes a vector to the floors of a few random Gaussian projections; a
-query visits, in each table, its own bucket and neighbouring ones in the order
-of their estimated chance of success (squared distance to the boundaries that
-are crossed). Candidates of all tables are ranked by the exact inner product of
-the original vectors.
+Entries are dealt to ranges of norms (each half as wide again as the next) and
+scaled by their range's largest norm, so that unequal norms don't crowd. One
+more component lifts them to the unit sphere, where the largest inner product
+is the smallest distance. Each table hashes an entry to the floors of a few
+random projections. A query visits in each table the buckets in the order of
+their estimated success: the chance that a neighbour at a usual distance falls
+between the steps on either side. The numbers of projections and of probes grow
+with a range's entries, with no switch to another way at any size.
+
+Vectors themselves don't move for this. An entry goes to each table as a code of
+a byte a component, and a query goes once to each group of buckets (those that
+share their first steps) with its code and the list of buckets that it visits
+there. Codes of entries in visited buckets are compared, the best of all tables
+are merged, and only these are ranked by the exact inner product of the original
+vectors. A query that finds too few is compared with all entries, in blocks.
 
 Work stays even: equal vectors are one entry with its smallest ids (as many as
-can be in a result), and crowded buckets are cut into cells of bounded size for
-both the entries and the visiting queries. A cell's entries and the queries that
-visit it are multiplied as matrices, and only each query's best leave the cell.
+can be in a result), and crowded groups are cut into cells of bounded size on
+both sides.
 
 Defined cases: vectors that are null, zero, of another length than most, or that
-hold null or non-finite components take no part; ties go to the smaller id; rows
-that share the query's id are its own; extra columns play no part; an empty
-table gives no rows.
+hold null or non-finite components take no part, nor do rows without an id, as a
+result can't name them; an id names one vector, so rows that repeat an id are
+one row (if their vectors differ, the least in array order stands for it); ties
+go to the smaller id; extra columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,167 +38,309 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.common import materialize
 
-TABLES = 4
-#: Width of a hash's steps on the unit sphere.
-WIDTH = 3.0
+TABLES = 12
+#: Width of a step, where projections of the unit sphere have a variance of 1.
+WIDTH = 2.5
+#: Distance on the unit sphere at which a neighbour is expected.
+NEAR = 1.05
+#: Steps to either side that a probe may take in a projection.
+OFFSETS = np.arange(-2, 3)
 SEED = 20
-#: Entries, or visiting queries, of a bucket from which it is cut into cells.
+#: Ranges of norms; the last one holds all that are smaller still.
+RANGES = 16
+#: Entries, or visiting queries, of a group of buckets from which it is cut into cells.
 CELL_ROWS = 4096
+#: Entries ranked exactly beyond those wanted, as codes are rounded.
+SLACK = 8
+#: Pairs of codes that are multiplied at once.
+PAIRS = 1 << 15
+CELL = "cell long, query boolean, id long, many int, size double, code binary, buckets array<long>"
 
 
 def hash_count(n: int) -> int:
-    """Projections of a table for n entries: none for a few, one more for each threefold."""
-    return max(0, round(0.62 * math.log2(max(n, 1) / 64)))
+    """Projections of a table for n entries, about as many buckets as entries."""
+    return max(2, round(math.log2(max(n, 1)) / 1.3))
 
 
 def probe_count(n: int) -> int:
     """Buckets that a query visits in each table."""
-    return max(4, math.ceil(0.62 * n**0.3))
+    return max(32, math.ceil(2 * n**0.4))
 
 
-class Hashing:
-    """The tables' projections, always the same for a size and dimension."""
+def group_count(n: int) -> int:
+    """First projections that the buckets of a group share: groups of about half a cell."""
+    return max(1, min(hash_count(n) - 1, round(math.log2(max(1.0, 2 * n / CELL_ROWS)) / 1.3)))
+
+
+def _below(z: np.ndarray) -> np.ndarray:
+    """The normal distribution's function, by its logistic approximation."""
+    return 1 / (1 + np.exp(-np.clip(1.702 * z, -60, 60)))
 
-    def __init__(self, n: int, dim: int, norm: float):
-        self.k, self.probes, self.norm = hash_count(n), probe_count(n), norm
-        rng = np.random.default_rng(SEED)
-        self.directions = rng.standard_normal((TABLES, dim + 1, self.k)) / WIDTH
+
+class Hashing:
+    """The tables' projections for a range of norms, always the same for a size and dimension."""
+
+    def __init__(self, number: int, n: int, dim: int, norm: float):
+        self.number, self.norm = number, norm
+        self.k, self.probes, self.g = hash_count(n), probe_count(n), group_count(n)
+        rng = np.random.default_rng([SEED, number])
+        shape = (TABLES, dim + 1, self.k)
+        self.directions = np.concatenate([self._basis(rng, dim + 1, self.k)[None] for _ in range(shape[0])]) / WIDTH
         self.shift = rng.random((TABLES, self.k))
         self.mixers = rng.integers(1, 1 << 62, (self.k,), dtype=np.int64) | 1
 
+    @staticmethod
+    def _basis(rng: np.random.Generator, dim: int, k: int) -> np.ndarray:
+        """k directions, at right angles to each other as far as the dimension allows."""
+        blocks = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-k // dim))]
+        return np.hstack(blocks)[:, :k] * math.sqrt(dim)
+
     def places(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Positions (table, row, projection) in steps; queries point, entries are lifted."""
         if query:
-            lifted = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
+            lifted = np.hstack([x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), np.zeros((len(x), 1))])
         else:
-            x = x / self.norm
+            x = x / max(self.norm, 1e-300)
             lifted = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))])
-        return np.einsum("rd,tdk->trk", lifted, self.directions) + self.shift[:, None, :]
+        return np.einsum("rd,tdk->trk", lifted, self.directions, optimize=True) + self.shift[:, None, :]
 
-    def bucket(self, steps: np.ndarray) -> np.ndarray:
-        """One number for each vector of floors (last axis)."""
+    def bucket(self, steps: np.ndarray, first: int | None = None) -> np.ndarray:
+        """One number for each vector of floors (last axis); of the first ones alone it is the group's."""
         with np.errstate(over="ignore"):
-            return (steps.astype(np.int64) * self.mixers).sum(axis=-1, dtype=np.int64)
+            return (steps.astype(np.int64) * self.mixers)[..., :first].sum(axis=-1, dtype=np.int64)
 
-    def visited(self, places: np.ndarray) -> np.ndarray:
-        """Buckets (row, probe) of one table, likeliest first.
+    def visited(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets and their groups (row, probe) of one table: those likeliest to hold a neighbour, likeliest first.
 
         The best partial choices of the first projections hold those of all:
         what is added for the others doesn't depend on them.
         """
         low = np.floor(places)
-        rest = places - low
-        cost, number = np.zeros((len(places), 1)), np.zeros((len(places), 1), np.int64)
+        rest, spread = places - low, NEAR / WIDTH
+        gain, number = np.zeros((len(places), 1)), np.zeros((len(places), 1), np.int64)
+        group = number
         for j in range(self.k):
-            down, up = rest[:, j, None] ** 2, (1 - rest[:, j, None]) ** 2
-            cost = np.hstack([cost, cost + down, cost + up])
-            step = low[:, j, None].astype(np.int64)
+            to = OFFSETS[None, :] - rest[:, j, None]
+            chance = np.log(np.maximum(_below((to + 1) / spread) - _below(to / spread), 1e-12))
             with np.errstate(over="ignore"):
-                number = np.hstack([number + (step + d) * self.mixers[j] for d in (0, -1, 1)])
-            if cost.shape[1] > self.probes:
-                best = np.argsort(cost, axis=1, kind="stable")[:, : self.probes]
-                cost, number = np.take_along_axis(cost, best, 1), np.take_along_axis(number, best, 1)
-        return number
+                steps = (low[:, j, None].astype(np.int64) + OFFSETS) * self.mixers[j]
+                number = (number[:, :, None] + steps[:, None, :]).reshape(len(places), -1)
+            gain = (gain[:, :, None] + chance[:, None, :]).reshape(len(places), -1)
+            group = number if j < self.g else np.repeat(group, len(OFFSETS), axis=1)
+            if gain.shape[1] > self.probes:
+                best = np.argpartition(-gain, self.probes - 1, axis=1)[:, : self.probes]
+                gain, number, group = (np.take_along_axis(a, best, 1) for a in (gain, number, group))
+        order = np.argsort(-gain, axis=1, kind="stable")
+        return np.take_along_axis(number, order, 1), np.take_along_axis(group, order, 1)
+
+    def table_number(self, t: int) -> int:
+        return (self.number * TABLES + t) * 0x9E3779B97F4A7C1 & (1 << 62) - 1
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
+def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for each component, and the size of a step."""
+    size = np.abs(x).max(axis=1) / 127
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.nan_to_num(np.rint(x / size[:, None])).astype(np.int8), size
+
+
 def valid_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, vec) of the vectors that take part."""
+    """(vec_id, vec) of the vectors that take part, one for each id."""
     v = F.col(embedding)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("vec")).where(F.coalesce(fine, F.lit(False)))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("vec")).where(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
+    width = rows.groupBy(F.size("vec").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    return rows.where(F.size("vec") == (width[0] if width else 1)).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+
 
+def _rows(df: DataFrame, hashings: dict[int, Hashing], query: bool, payload: bool) -> DataFrame:
+    """Cells' rows before they are cut: for entries one in each table, for queries one for each group that is visited.
 
-def _rows(df: DataFrame, hashing: Hashing, query: bool, payload: bool) -> DataFrame:
-    """(bucket, id, vec) for each table and probe; without payload the bucket alone."""
+    Without payload the column ``cell`` alone. ``df`` has id, many, range and vec.
+    """
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                places = hashing.places(_matrix(batch.column(1)), query)
-                for t in range(TABLES):
-                    found = hashing.visited(places[t]) if query else hashing.bucket(np.floor(places[t]))[:, None]
-                    bucket = pa.array(found.reshape(-1) * TABLES + t)
-                    if not payload:
-                        yield pa.RecordBatch.from_arrays([bucket], ["bucket"])
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                x, of_range = _matrix(batch.column(3)), batch.column(2).to_numpy()
+                code, size = _codes(x) if payload else (None, None)
+                for number, hashing in hashings.items():
+                    mine = np.arange(len(x)) if query else np.flatnonzero(of_range == number)
+                    if not len(mine):
                         continue
-                    row = pa.array(np.repeat(np.arange(batch.num_rows), found.shape[1]))
-                    yield pa.RecordBatch.from_arrays([bucket, batch.column(0).take(row), batch.column(1).take(row)], ["bucket", "id", "vec"])
+                    places = hashing.places(x[mine], query)
+                    for t in range(TABLES):
+                        salt = hashing.table_number(t)
+                        if query:
+                            found, group = hashing.visited(places[t])
+                            row = np.repeat(np.arange(len(mine)), found.shape[1])
+                            found, group = found.reshape(-1), group.reshape(-1)
+                            order = np.lexsort((group, row))
+                            row, found, group = row[order], found[order], group[order]
+                            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (group[1:] != group[:-1])))
+                            ends, row, group = np.append(first, len(found)), row[first], group[first]
+                        else:
+                            steps = np.floor(places[t])
+                            found, group = hashing.bucket(steps), hashing.bucket(steps, hashing.g)
+                            ends, row = np.arange(len(found) + 1), np.arange(len(found))
+                        cell = pa.array(group ^ salt)
+                        if not payload:
+                            yield pa.RecordBatch.from_arrays([cell], ["cell"])
+                            continue
+                        row = mine[row]
+                        take = pa.array(row)
+                        bytes_ = pa.array([code[i].tobytes() for i in row], pa.binary())
+                        yield pa.RecordBatch.from_arrays(
+                            [cell, pa.array(np.full(len(row), query)), batch.column(0).take(take), batch.column(1).take(take), pa.array(size[row]), bytes_, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))],
+                            ["cell", "query", "id", "many", "size", "code", "buckets"],
+                        )
+
+    return df.select("id", "many", "range", "vec").mapInArrow(run, CELL if payload else "cell long")
+
+
+def _scan_rows(df: DataFrame, query: bool) -> DataFrame:
+    """All rows in one bucket, for an exact scan."""
 
-    kind = df.schema["vec"].dataType.simpleString()
-    return df.select("id", "vec").mapInArrow(run, f"bucket long, id long, vec {kind}" if payload else "bucket long")
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                code, size = _codes(_matrix(batch.column(2)))
+                zero = pa.array(np.zeros(len(size), np.int64))
+                buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32)), zero)
+                yield pa.RecordBatch.from_arrays([zero, pa.array(np.full(len(size), query)), batch.column(0), batch.column(1), pa.array(size), pa.array([c.tobytes() for c in code], pa.binary()), buckets], ["cell", "query", "id", "many", "size", "code", "buckets"])
+
+    return df.select("id", "many", "vec").mapInArrow(run, CELL)
 
 
 def _cells(rows: DataFrame, cut: DataFrame, own: str, other: str, query: bool) -> DataFrame:
-    """Rows of crowded buckets get a cell of their own side and a copy for each of the other side's."""
-    joined = rows.join(cut, "bucket", "left")
+    """Rows of crowded groups get a cell of their own side and a copy for each of the other side's."""
+    joined = rows.join(cut, "cell", "left")
     mine = F.pmod(F.xxhash64("id"), F.coalesce(own, F.lit(1)))
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))
-    split = joined.select("bucket", "id", "vec", mine.alias("mine"), copies.alias("theirs"))
+    split = joined.select(*rows.columns, mine.alias("mine"), copies.alias("theirs"))
     first, second = ("theirs", "mine") if query else ("mine", "theirs")
-    return split.select(F.xxhash64("bucket", first, second).alias("cell"), F.lit(query).alias("query"), "id", "vec")
+    return split.withColumn("cell", F.xxhash64("cell", first, second)).drop("mine", "theirs")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of which ``is_query`` (over vec_id) holds, the ``k`` nearest found."""
-    rows = valid_vectors(vectors, vec_id, embedding)
-    width = rows.groupBy(F.size("vec").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    dim = width[0] if width else 1
-    rows = rows.where(F.size("vec") == dim)
-    # Equal vectors are one entry; Spark keeps k + 1 of its ids before it shuffles.
-    least = Window.partitionBy("vec").orderBy("vec_id")
-    entries = rows.withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1).groupBy("vec").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    entries = materialize(entries)
-    wanted = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vec")
-    asked = materialize(wanted.join(entries.select("id", "vec"), "vec").select("query_id", "id"))
-    queries = entries.join(asked.select("id").distinct(), "id", "left_semi").select("id", "vec")
-    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    n, norm = entries.agg(F.count("*"), F.max(length)).first()
-    hashing = Hashing(n, dim, norm or 1.0)
-
-    count = lambda df, q, name: _rows(df, hashing, q, False).groupBy("bucket").agg(F.ceil(F.count("*") / CELL_ROWS).alias(name)).where(F.col(name) > 1)
-    cut = materialize(count(entries, False, "parts").join(count(queries, True, "query_parts"), "bucket", "full"))
-    cells = _cells(_rows(entries, hashing, False, True), cut, "parts", "query_parts", False).union(_cells(_rows(queries, hashing, True, True), cut, "query_parts", "parts", True))
+def _search(keep: int):
+    """Rows come sorted by cell, its entries before its queries; a cell's entries are few."""
 
     def search(batches):
-        """Rows come sorted by cell, its entries before its queries; a cell's entries are few."""
-        cell, ids, parts = None, [], []
+        cell, parts, ready = None, [], None
+
+        def prepared():
+            """The cell's entries in order of their buckets."""
+            bucket, ids, many, size, code = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(bucket, kind="stable")
+            return bucket[order], ids[order], many[order], size[order], code[order].astype(np.float32)
+
+        def compared(ids, buckets, ends, code):
+            """The best entries of each query: (query, id, many, near)."""
+            bucket, entry, many, size, codes = ready
+            a, z = np.searchsorted(bucket, buckets, "left"), np.searchsorted(bucket, buckets, "right")
+            total = np.append(0, np.cumsum(z - a))[ends]  # pairs before each query
+            out, at = [], 0
+            while at < len(ids):
+                to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+                s, e = ends[at], ends[to]
+                n = z[s:e] - a[s:e]
+                pick = np.arange(n.sum()) + np.repeat(a[s:e] - np.append(0, np.cumsum(n)[:-1]), n)
+                who = np.repeat(np.arange(at, to), np.diff(total[at : to + 1]))
+                if to == at + 1:
+                    near = codes[pick] @ code[at]
+                else:
+                    near = np.einsum("pd,pd->p", codes[pick], code[who])
+                near = near * size[pick]
+                order = np.lexsort((entry[pick], -near, who))
+                who = who[order]
+                start = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, int)
+                rank = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
+                best = order[rank < keep]
+                out.append((ids[who[rank < keep]], entry[pick[best]], many[pick[best]], near[best]))
+                at = to
+            return out
+
         for whole in batches:
+            if not whole.num_rows:
+                continue
             cell_of, query = whole.column(0).to_numpy(), whole.column(1).to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.append(True, (cell_of[1:] != cell_of[:-1]) | (query[1:] != query[:-1]))) if len(cell_of) else []
-            out = [[], [], []]
+            edges = np.flatnonzero(np.append(True, (cell_of[1:] != cell_of[:-1]) | (query[1:] != query[:-1])))
             for a, z in zip(edges, [*edges[1:], len(cell_of)]):
                 if cell_of[a] != cell:
-                    cell, ids, parts = cell_of[a], [], []
-                part, number = _matrix(whole.column(3).slice(a, z - a)), whole.column(2).slice(a, z - a).to_numpy()
+                    cell, parts, ready = cell_of[a], [], None
+                part = whole.slice(a, z - a)
+                ids, many, size = (part.column(i).to_numpy() for i in (2, 3, 4))
+                code = np.frombuffer(b"".join(part.column(5).to_pylist()), np.int8).reshape(z - a, -1)
+                lists = part.column(6)
                 if not query[a]:
-                    ids.append(number)
-                    parts.append(part)
+                    parts.append((lists.flatten().to_numpy(), ids, many, size, code))
                 elif parts:
-                    ids, parts = [np.concatenate(ids)], [np.concatenate(parts)]
-                    for s in range(0, len(part), 512):
-                        score = part[s : s + 512] @ parts[0].T
-                        m = min(k + 1, score.shape[1])
-                        best = np.argsort(-score, axis=1, kind="stable")[:, :m] if m == score.shape[1] else np.argpartition(-score, m - 1, axis=1)[:, :m]
-                        for o, x in zip(out, (np.repeat(number[s : s + 512], m), ids[0][best].reshape(-1), np.take_along_axis(score, best, 1).reshape(-1))):
-                            o.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query", "id", "near"])
-
-    found = cells.repartition("cell").sortWithinPartitions("cell", "query", "id").mapInArrow(search, "query long, id long, near double")
+                    if ready is None:
+                        ready = prepared()
+                    ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy())).astype(np.int64)
+                    # A query's own step scales all its values alike.
+                    for q, i, m, near in compared(ids, lists.flatten().to_numpy(), ends, code.astype(np.float32)):
+                        if len(q):
+                            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(m), pa.array(near.astype(np.float64))], ["query", "id", "many", "near"])
+
+    return search
+
+
+def _best(cells: DataFrame, keep: int) -> DataFrame:
+    """(query, id, many, near): the ``keep`` best of all that a query is compared with, as a table."""
+    found = cells.repartition("cell").sortWithinPartitions("cell", "query", "id").mapInArrow(_search(keep), "query long, id long, many int, near double")
     # The same entry may come from each table; Spark drops what can't be among the best before it shuffles.
     some = Window.partitionBy("query").orderBy(F.desc("near"), "id")
-    best = found.withColumn("n", F.row_number().over(some)).where(F.col("n") <= TABLES * (k + 1)).drop("n").dropDuplicates(["query", "id"])
-    best = materialize(best.withColumn("n", F.row_number().over(some)).where(F.col("n") <= k + 1).drop("n"))
+    best = found.withColumn("n", F.row_number().over(some)).where(F.col("n") <= TABLES * keep).drop("n").dropDuplicates(["query", "id"])
+    return materialize(best.withColumn("n", F.row_number().over(some)).where(F.col("n") <= keep).drop("n"))
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of which ``is_query`` (over vec_id) holds, the ``k`` nearest found."""
+    rows = materialize(valid_vectors(vectors, vec_id, embedding))
+    # Equal vectors are one entry; Spark keeps k + 1 of its ids before it shuffles.
+    least = Window.partitionBy("vec").orderBy("vec_id")
+    entries = rows.withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1).groupBy("vec").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    entries = materialize(entries.withColumn("many", F.size("ids")).withColumn("norm", length))
+    largest = entries.agg(F.max("norm")).first()[0] or 1.0
+    step = F.when(F.col("norm") > 0, F.least(F.lit(RANGES - 1), F.floor(2 * F.log2(F.lit(largest) / F.col("norm"))))).otherwise(RANGES - 1).cast("int")
+    entries = entries.withColumn("range", step)
+    sizes = entries.groupBy("range").agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.max(F.size("vec")).alias("dim")).collect()  # one row for each range
+    hashings = {r.range: Hashing(r.range, r.n, r.dim, r.norm) for r in sorted(sizes)}
+    wanted = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vec")
+    asked = materialize(wanted.join(entries.select("id", "vec"), "vec").select("query_id", "id"))
+    queries = entries.join(asked.select("id").distinct(), "id", "left_semi")
+    keep = k + 1 + SLACK
+
+    def cut_of(left: DataFrame, right: DataFrame) -> DataFrame:
+        count = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).alias(name)).where(F.col(name) > 1)
+        return materialize(count(left, "parts").join(count(right, "query_parts"), "cell", "full"))
+
+    def searched(left: DataFrame, right: DataFrame, cut: DataFrame) -> DataFrame:
+        return _best(_cells(left, cut, "parts", "query_parts", False).union(_cells(right, cut, "query_parts", "parts", True)), keep)
+
+    cut = cut_of(_rows(entries, hashings, False, False), _rows(queries, hashings, True, False))
+    best = searched(_rows(entries, hashings, False, True), _rows(queries, hashings, True, True), cut)
+
+    # Queries that found too few neighbours meet all entries.
+    others = rows.count() - 1
+    enough = best.groupBy(F.col("query").alias("id")).agg(F.sum("many").alias("found")).where(F.col("found") > min(k, others))
+    few = materialize(queries.join(enough, "id", "left_anti"))
+    if not few.isEmpty():
+        every, these = _scan_rows(entries, False), _scan_rows(few, True)
+        more = searched(every, these, cut_of(every.select("cell"), these.select("cell")))
+        best = best.join(few.select(F.col("id").alias("query")), "query", "left_anti").union(more)
 
-    # The exact measure again, on the original vectors, one product after the other.
+    # The exact measure, on the original vectors, one product after the other.
     a, b = entries.select(F.col("id").alias("query"), F.col("vec").alias("left")), entries.select("id", F.col("vec").alias("right"), "ids")
     product = F.aggregate(F.zip_with("left", "right", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = best.join(a, "query").join(b, "id").select("query", F.explode("ids").alias("vec_id"), product.alias("score"))
+    scored = best.select("query", "id").join(a, "query").join(b, "id").select("query", F.explode("ids").alias("vec_id"), product.alias("score"))
     ordered = [F.desc("score"), F.asc("vec_id")]
     top = scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*ordered))).where(F.col("n") <= k + 1).drop("n")
     each = asked.join(top, asked["id"] == top["query"]).where("query_id <> vec_id")

@@ -1,4 +1,7 @@
+import itertools
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,14 +62,48 @@ def test_empty(spark):
     assert nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    """Rows without an id take no part; a repeated id is one row, and each query has distinct neighbours."""
+    rng = np.random.default_rng(3)
+    rows = rows_of(rng.standard_normal((60, 8)).round(2))
+    more = [(None, [1.0] * 8, 1, 2, "q"), rows[20], rows[20], rows[37], (0, [99.0] * 8, 1, 2, "q")]
+    got = nearest(spark.createDataFrame(rows + more, SCHEMA).repartition(3), F.col("vec_id") % 20 == 0).collect()
+    want = brute(rows) if min(rows[0][1], [99.0] * 8) == rows[0][1] else None
+    for q, w in want.items():
+        assert [(r.vec_id, pytest.approx(r.score)) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == w
+
+
+@pytest.mark.parametrize("norms", ["one large", "log-normal"])
+def test_recall_with_unequal_norms(spark, norms):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20_000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= rng.lognormal(0, 0.5, (len(x), 1)) if norms == "log-normal" else 1
+    x[7] *= 10
+    x = x.astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = nearest(df, F.col("vec_id") % 200 == 0).collect()
+    hits = 0
+    for q in range(0, len(x), 200):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        mine = {r.vec_id for r in got if r.query_id == q}
+        assert len(mine) == 20
+        hits += len(mine & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (20 * len(x) / 200) >= 0.9
+
+
 def test_probes_come_in_order_of_estimated_success():
-    h = Hashing(100_000, 8, 1.0)
+    h = Hashing(0, 40, 8, 1.0)
     places = np.random.default_rng(2).standard_normal((5, h.k)) * 3
-    got = h.visited(places)
+    got, groups = h.visited(places)
     low, rest = np.floor(places), places - np.floor(places)
-    import itertools
+    spread = ann.NEAR / ann.WIDTH
+
+    def chance(row, steps):
+        return sum(np.log(ann._below((d + 1 - rest[row, j]) / spread) - ann._below((d - rest[row, j]) / spread)) for j, d in enumerate(steps))
 
     for row in range(5):
-        every = sorted((sum({0: 0, -1: rest[row, j] ** 2, 1: (1 - rest[row, j]) ** 2}[d] for j, d in enumerate(ds)), ds) for ds in itertools.product((0, -1, 1), repeat=h.k))
-        want = [h.bucket(low[row] + np.array(ds)) for _, ds in every[: h.probes]]
-        assert got[row].tolist() == [int(x) for x in want]
+        every = sorted(itertools.product(range(-2, 3), repeat=h.k), key=lambda steps: -chance(row, steps))[: h.probes]
+        assert got[row].tolist() == [int(h.bucket(low[row] + np.array(steps))) for steps in every]
+        assert groups[row].tolist() == [int(h.bucket(low[row] + np.array(steps), h.g)) for steps in every]
