@@ -49,11 +49,12 @@ SEED = 20
 #: Ranges of norms; the last one holds all that are smaller still.
 RANGES = 16
 #: Entries, or visiting queries, of a group of buckets from which it is cut into cells.
-CELL_ROWS = 4096
+CELL_ROWS = 16384
 #: Entries ranked exactly beyond those wanted, as codes are rounded.
 SLACK = 8
 #: Pairs of codes that are multiplied at once.
 PAIRS = 1 << 15
+FOUND = ["query", "ids", "many", "near"]
 CELL = "cell long, query boolean, id long, many int, size double, code binary, buckets array<long>"
 
 
@@ -240,7 +241,7 @@ def _search(keep: int):
             return bucket[order], ids[order], many[order], size[order], code[order].astype(np.float32)
 
         def compared(ids, buckets, ends, code):
-            """The best entries of each query: (query, id, many, near)."""
+            """The best entries of each query: (queries, where their lists begin, ids, many, near)."""
             bucket, entry, many, size, codes = ready
             a, z = np.searchsorted(bucket, buckets, "left"), np.searchsorted(bucket, buckets, "right")
             total = np.append(0, np.cumsum(z - a))[ends]  # pairs before each query
@@ -255,13 +256,14 @@ def _search(keep: int):
                     near = codes[pick] @ code[at]
                 else:
                     near = np.einsum("pd,pd->p", codes[pick], code[who])
-                near = near * size[pick]
+                near = (near * size[pick]).astype(np.float32)
                 order = np.lexsort((entry[pick], -near, who))
                 who = who[order]
                 start = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, int)
                 rank = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
-                best = order[rank < keep]
-                out.append((ids[who[rank < keep]], entry[pick[best]], many[pick[best]], near[best]))
+                best, who = order[rank < keep], who[rank < keep]
+                first = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, int)
+                out.append((ids[who[first]], np.append(first, len(who)), entry[pick[best]], many[pick[best]], near[best]))
                 at = to
             return out
 
@@ -284,20 +286,52 @@ def _search(keep: int):
                         ready = prepared()
                     ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy())).astype(np.int64)
                     # A query's own step scales all its values alike.
-                    for q, i, m, near in compared(ids, lists.flatten().to_numpy(), ends, code.astype(np.float32)):
+                    for q, at, *lists in compared(ids, lists.flatten().to_numpy(), ends, code.astype(np.float32)):
                         if len(q):
-                            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(m), pa.array(near.astype(np.float64))], ["query", "id", "many", "near"])
+                            yield pa.RecordBatch.from_arrays([pa.array(q), *[pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for x in lists]], FOUND)
 
     return search
 
 
+def _merge(keep: int):
+    """Rows of lists come sorted by query; the best of all a query's lists leave, each entry once."""
+
+    def merge(batches):
+        rest = None
+
+        def merged(rows):
+            query, lists = rows.column(0).to_numpy(), [rows.column(i) for i in (1, 2, 3)]
+            who = np.repeat(query, lists[0].value_lengths().to_numpy())
+            ids, many, near = (x.flatten().to_numpy() for x in lists)
+            order = np.lexsort((-near, ids, who))  # a rounded score may differ with the order of its sum
+            who, ids, many, near = (x[order] for x in (who, ids, many, near))
+            once = np.append(True, (who[1:] != who[:-1]) | (ids[1:] != ids[:-1]))
+            who, ids, many, near = (x[once] for x in (who, ids, many, near))
+            order = np.lexsort((ids, -near, who))
+            who, ids, many, near = (x[order] for x in (who, ids, many, near))
+            start = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+            best = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who)))) < keep
+            return pa.RecordBatch.from_arrays([pa.array(x[best]) for x in (who, ids, many)], ["query", "id", "many"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if rest is None else pa.concat_batches([rest, batch])
+            query = rows.column(0).to_numpy()
+            last = int(np.searchsorted(query, query[-1]))
+            if last:
+                yield merged(rows.slice(0, last))
+            rest = rows.slice(last)
+        if rest is not None:
+            yield merged(rest)
+
+    return merge
+
+
 def _best(cells: DataFrame, keep: int) -> DataFrame:
-    """(query, id, many, near): the ``keep`` best of all that a query is compared with, as a table."""
-    found = cells.repartition("cell").sortWithinPartitions("cell", "query", "id").mapInArrow(_search(keep), "query long, id long, many int, near double")
-    # The same entry may come from each table; Spark drops what can't be among the best before it shuffles.
-    some = Window.partitionBy("query").orderBy(F.desc("near"), "id")
-    best = found.withColumn("n", F.row_number().over(some)).where(F.col("n") <= TABLES * keep).drop("n").dropDuplicates(["query", "id"])
-    return materialize(best.withColumn("n", F.row_number().over(some)).where(F.col("n") <= keep).drop("n"))
+    """(query, id, many): the ``keep`` best of all that a query is compared with, as a table."""
+    found = cells.repartition("cell").sortWithinPartitions("cell", "query", "id").mapInArrow(_search(keep), "query long, ids array<long>, many array<int>, near array<float>")
+    return materialize(found.repartition("query").sortWithinPartitions("query").mapInArrow(_merge(keep), "query long, id long, many int"))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
