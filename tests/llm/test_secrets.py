@@ -1,4 +1,8 @@
+import random
 import re
+import time
+
+import pytest
 
 from quadrille.llm.secrets import ACCESS, HEX, KINDS, find_secrets, lexed_pairs, redact_secrets, scan
 
@@ -25,18 +29,97 @@ def test_base_spans_stay():
         assert [s for s in scan(text) if s[1] < 3] == brute(text), text
 
 
+def named(text):
+    return [text[s:e] for s, k, e in scan(text) if KINDS[k] == "named"]
+
+
 def test_constants_and_names():
     text = 'k = "Zx81kqW2mPl0vB7t"\nlimit = 5\ndb_password = k\nname: "Zx81kqW2mPl0vBqq"\nclientSecretKey := "q8R1mZ7x" + "T5vN2kLw"\n'
-    named = [(text[s:e]) for s, k, e in scan(text) if KINDS[k] == "named"]
-    assert named == ["Zx81kqW2mPl0vB7t", "q8R1mZ7x", "T5vN2kLw"] or named == ["Zx81kqW2mPl0vB7t"] or "Zx81kqW2mPl0vB7t" in named
-    assert "Zx81kqW2mPl0vBqq" not in named
+    assert named(text) == ["Zx81kqW2mPl0vB7t", "q8R1mZ7x", "T5vN2kLw"]
     assert ("db_password", 5, 21, "Zx81kqW2mPl0vB7t") in lexed_pairs(text)
-    assert not scan("password = changeme? The secret: of it all. Note: nothing here, token of thanks")[0:0]
+    assert scan("password = changeme? The secret: of it all. Note: nothing here, token of thanks") == scan("password = changeme")
+
+
+S = "Zx81kqW2mPl0vB7t"
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        (f"<passphrase>{S}</passphrase>", [S]),
+        (f"<a><passphrase> {S}\n</passphrase></a>", [S]),
+        (f"passphrase: |\n  {S}\n  {S[::-1]}\nother: 1", [f"{S}\n  {S[::-1]}"]),
+        (f'conf["passphrase"] = "{S}"', [S]),
+        (f"conf['passphrase'] = '{S}'", [S]),
+        (f'user.setPassphrase("{S}")', [S]),
+        (f'map.put("passphrase", "{S}")', [S]),
+        (f'passphrases = ["{S}", "{S[::-1]}"]', [S, S[::-1]]),
+        (f'passphrase = (\n    "{S}"\n    "{S[::-1]}"\n)', [S, S[::-1]]),
+        (f'passphrase = """{S}"""', [S]),
+        (f'passphrase = r"{S}"', [S]),
+        (f'passphrase =\n    "{S}"', [S]),
+        (f'<property name="passphrase" value="{S}"/>', [S]),
+        (f'<property name="other" value="{S}"/>', []),
+        (f"// the passphrase = {S}\n", []),
+        (f'/* passphrase = "{S}" */', []),
+        (f'<!-- passphrase = "{S}" -->', []),
+        (f'# passphrase = "{S}"\n', []),
+        (f"say(\"the passphrase = '{S}'\")", []),
+        (f'x = "don\'t passphrase = {S}"', []),
+        (f'if passphrase == "{S}": pass', []),
+        (f'def f():\n    k = "{S}"\n    use(k)\npassphrase = k\n', []),
+        (f'def f():\n    k = "{S}"\n    passphrase = k\n', [S]),
+        (f'k = "{S}"\ndef f():\n    passphrase = k\n', [S]),
+        (f'a = "{S}"\nb = a\nc = b + "x"\npassphrase = c', [S]),
+        (f'k = "{S}"\nk = "1"\npassphrase = k', []),
+        (f'{{"passphrase" : "{S}", "n": 1}}', [S]),
+        (f"export PASSPHRASE={S}", [S]),
+        (f"getPassphrase('{S}')", []),
+    ],
+)
+def test_syntaxes(text, found):
+    assert named(text) == found
+
+
+def test_pairs_of_made_up_programs():
+    """Statements in many forms among decoys: the pairs are known from how the text was made."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyz") for _ in range(n))
+    forms = ['{n} = "{v}"', "{n} = '{v}';", "{n}: {v}", '"{n}": "{v}",', '{n} := "{v}"', "{n}={v}", 'x["{n}"] = "{v}"', '{n} => "{v}"', "<{n}_key>{v}</{n}_key>", "{n}: >-\n  {v}", '{n} = """{v}"""', "{n} = `{v}`"]
+    decoys = ['# {n} = "{v}"', '// {n}: "{v}"', "/* {n} = {v} */", 'print("{n} = {v}")', "Some prose, it's {n} of {v}.", 'if {n} == "{v}" {{ }}', "<!-- {n}={v} -->", "", "  \t"]
+    for _ in range(300):
+        want, lines, made = [], [], {}
+        for _ in range(r.randint(1, 12)):
+            n, v = word(6), word(9)
+            if r.random() < 0.4:
+                lines.append(r.choice(decoys).format(n=n, v=v))
+            elif made and r.random() < 0.3:
+                old = r.choice(sorted(made))
+                lines.append(f"{n} = {old}" if r.random() < 0.5 else f'{n} = {old} + "{v}"')
+                made[n] = {*made[old], *([v] if v in lines[-1] else [])}
+                want += [(n, x) for x in made[n]]
+            else:
+                form = r.choice(forms)
+                lines.append(form.format(n=n, v=v))
+                key = f"{n}_key" if form.startswith("<") else n
+                if key == n:
+                    made[n] = {v}
+                want.append((key, v))
+        text = "\n".join(lines)
+        assert sorted((n, x) for n, _, _, x in lexed_pairs(text)) == sorted(want), text
+
+
+def test_work_is_linear():
+    began = time.time()
+    texts = ['x = "abcdef"\n' + "x = x + x\n" * 1000, 'x = "a"\n' + 'x = x + "abc"\n' * 20_000 + "password_key = x\n", 'passphrase = "' + "q7" * 500_000 + '"', "\\'" * 300_000, "/*" * 200_000, '"' * 300_001, "a=" * 300_000, "<a" * 200_000, "<password>" * 100_000, "f(" * 200_000]
+    texts += [("'" * 3 + "x") * 100_001, "k: |\n" * 50_000, " " * 500_000 + "= 1", "set(" * 100_000, "x = [" * 100_000, "password=abcdefgh " * 50_000, "    a = b\n" * 50_000]
+    for text in texts:
+        scan(text)
+    assert time.time() - began < 30
 
 
 def test_long_and_spaced_literals_and_names():
     many = "".join(f"{i * 7919 % 9973:x}Zq" for i in range(3000))
-    named = lambda text: [text[s:e] for s, k, e in scan(text) if KINDS[k] == "named"]
     assert named(f'signing_private_key = "{many}"') == [many]
     assert named(f"signing_private_key = {many}") == [many]
     assert named(f"signing_private_key: {many}\n") == [many]
