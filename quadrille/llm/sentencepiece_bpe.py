@@ -11,15 +11,23 @@ each piece whether that can happen; then only the word's leftmost occurrence
 is merged in that round, or the leftmost of each cluster where occurrences lie
 too far apart for a chain (at most a piece long) to reach from one to another.
 
+Reading a very long word anew in every round would take a time that grows with
+its square. From ``LONG`` symbols on, its pairs wait by rank, a round takes all
+places of the least rank, and only their neighbours are looked up again, so time
+stays nearly in proportion to the text, spaced or not.
+
 Defined cases: a null or empty text has no ids and decodes to an empty text;
-repeated rows give repeated results; other columns play no part. Any characters
-are encoded: those without a piece by the pieces of their UTF-8 bytes.
+texts and words of any length are encoded as a whole; repeated rows give repeated
+results; other columns play no part. Any characters are encoded: those without a
+piece by the pieces of their UTF-8 bytes.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +40,10 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words kept with their ids in each Python worker.
 CACHED_WORDS = 1_000_000
+#: Longest word that is kept, so that the store is bounded in bytes too.
+KEPT_CHARS = 48
+#: Symbols of a word from which its pairs wait by rank.
+LONG = 512
 NONE = np.int64(1) << 40
 
 
@@ -176,6 +188,79 @@ class PieceTable:
         order = np.argsort(word, kind="stable")
         return symbols[order], word[order]
 
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Symbols of one long word when no pair is left; merged pairs point to their neighbours."""
+        n = len(symbols)
+        symbol = np.append(symbols, -1)  # the last one stands beyond both ends
+        after, before, alive = np.arange(1, n + 2), np.arange(-1, n), np.ones(n + 1, bool)
+        waiting: defaultdict[int, list[int]] = defaultdict(list)
+        rank, _ = self._pairs(symbols[:-1], symbols[1:])
+        at = np.argsort(rank, kind="stable")
+        at = at[: np.searchsorted(rank[at], NONE)]
+        cuts = np.flatnonzero(np.diff(rank[at])) + 1
+        for part in np.split(at, cuts):
+            if len(part):
+                waiting[int(rank[part[0]])] = part.tolist()
+        ranks = list(waiting)
+        heapify(ranks)
+        while ranks:
+            least = heappop(ranks)
+            at = np.unique(np.array(waiting.pop(least)))
+            at = at[alive[at]]
+            right = after[at]
+            rank, piece = self._pairs(symbol[at], symbol[right])
+            fits = rank == least
+            at, right, piece = at[fits], right[fits], piece[fits]
+            if not len(at):
+                continue
+            # Of occurrences that overlap (as in "aaaa") every other one, from the left.
+            start = np.append(True, right[:-1] != at[1:])
+            place = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+            even = place % 2 == 0
+            at, right, piece = at[even], right[even], piece[even]
+            left = symbol[before[at]]
+            beside = np.append(False, before[at[1:]] == right[:-1])
+            left[beside] = piece[:-1][beside[1:]]
+            # A merge that makes a pair of no higher rank comes before all occurrences further right that its chain may reach.
+            chains = (self._pairs(left, piece)[0] <= least) | (self._pairs(piece, symbol[after[right]])[0] <= least)
+            if chains.any():
+                cluster = np.cumsum(np.append(False, np.diff(at) > self.reach))
+                first = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
+                earlier = np.cumsum(chains) - chains
+                taken = earlier == earlier[first][cluster]
+                if not taken.all():
+                    waiting[least] += at[~taken].tolist()
+                    at, right, piece = at[taken], right[taken], piece[taken]
+                    heappush(ranks, least)
+            symbol[at], alive[right] = piece, False
+            after[at] = after[right]
+            inner = after[at] < n
+            before[after[at[inner]]] = at[inner]
+            around = np.unique(np.concatenate([before[at], at]))
+            around = around[around >= 0]
+            rank, _ = self._pairs(symbol[around], symbol[after[around]])
+            new = rank < NONE
+            for r, i in zip(rank[new].tolist(), around[new].tolist()):
+                if r not in waiting:
+                    heappush(ranks, r)
+                waiting[r].append(i)
+        return symbol[:n][alive[:n]]
+
+    def merged_words(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and word numbers of all words when no pair is left."""
+        sizes = np.bincount(word) if len(word) else np.zeros(0, np.int64)
+        if not (sizes > LONG).any():
+            return self.merge_rounds(symbols, word)
+        long = sizes[word] > LONG
+        parts = [self.merge_rounds(symbols[~long], word[~long])]
+        ends = np.cumsum(sizes)
+        for w in np.flatnonzero(sizes > LONG):
+            merged = self.merge_long(symbols[ends[w] - sizes[w] : ends[w]])
+            parts.append((merged, np.full(len(merged), w)))
+        symbols, word = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(word, kind="stable")
+        return symbols[order], word[order]
+
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of words (white space only in front, as SPACE)."""
         if not words:
@@ -183,7 +268,7 @@ class PieceTable:
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         number = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
         ids = self.char_ids[chars].astype(np.int64)
-        symbols, number = self.merge_rounds(np.where(ids >= 0, ids, self.first_char + chars), number)
+        symbols, number = self.merged_words(np.where(ids >= 0, ids, self.first_char + chars), number)
         if (other := np.flatnonzero(symbols >= self.first_char)).size:
             spelt = [self.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in (symbols[other] - self.first_char).tolist()]
             count = np.ones(len(symbols), np.int64)
@@ -212,7 +297,7 @@ class PieceTable:
         """Ids of texts, as the library gives them without begin and end.
 
         The first words met are the commonest, so they stay in the store when
-        it is full, and others are encoded for this call alone.
+        it is full; others, and long ones, are encoded for this call alone.
         """
         split = [self.split(x) for x in texts]
         every = set().union(*split)
@@ -223,7 +308,11 @@ class PieceTable:
             found = self.words
         else:
             found.update((w, self.words[w]) for w in every if w in self.words)
-        return [np.frombuffer(b"".join(map(found.__getitem__, x)), np.int32) for x in split]
+        ids = [np.frombuffer(b"".join(map(found.__getitem__, x)), np.int32) for x in split]
+        for w in new:
+            if len(w) > KEPT_CHARS:
+                self.words.pop(w, None)
+        return ids
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes that are no UTF-8 become replacement characters, each by itself."""

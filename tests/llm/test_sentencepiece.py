@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -33,6 +34,30 @@ def test_ids_and_text_are_the_library_s(library):
         assert [table.decode(x) for x in got] == [library.decode(x.tolist()) for x in got]
 
 
+def test_long_words_are_the_library_s(library, monkeypatch):
+    """The way by waiting ranks, for words of any length."""
+    import quadrille.llm.sentencepiece_bpe as module
+
+    monkeypatch.setattr(module, "LONG", 1)
+    r = random.Random(6)
+    table = module.PieceTable(public_tokenizers.path("piece_bpe_32k.model"))
+    every = ["".join(r.choice(letters) for _ in range(r.randint(2, 80))) for letters in ("ab", "thein", "aaab", "0123456789abcdef", "thequickbrownfoxjumpsoverthelazydogABCéß中") for _ in range(600)]
+    every += ["a" * 5000, "ha" * 3000, "the" * 2000, "er" * 1001 + "s", "tion" * 900, "".join(r.choice("etaoinshrdlu") for _ in range(20_000))]
+    assert [x.tolist() for x in table.encode(every)] == library.encode(every, num_threads=1)
+
+
+def test_a_long_unspaced_text_takes_no_long(library):
+    r = random.Random(7)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    table = piece_table()
+    began = time.time()
+    ids = table.encode([text])[0].tolist()
+    took = time.time() - began
+    assert ids == library.encode(text)
+    assert took < 40
+    assert text not in table.words
+
+
 def test_any_ids_decode_alike(library):
     r = random.Random(5)
     for _ in range(3000):
