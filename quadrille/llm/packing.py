@@ -3,14 +3,16 @@
 All planning is done on the histogram of piece lengths, which has no more
 entries than a sequence has tokens, whatever the data: patterns of a few lengths
 that fill a sequence are enumerated, non-negative least squares fits how often
-to repeat each, the counts are rounded down, and what is left over is packed
-best-fit on the histogram, longest first. The plan is a table of slots; pieces
+to repeat each, the counts are rounded down, what that leaves is fitted again a
+few times, and what is left over then is packed best-fit on the histogram,
+longest first. Where lengths are such that fewer fits or none do better, that
+plan is taken, so it is never worse than best fit. The plan is a table of slots; pieces
 find theirs by their rank among the pieces of their length, which is made of
 ranks within small buckets and running sums of bucket counts, so no length's
 pieces ever meet in one task.
 
-Defined cases: a null or empty text is the end id alone; repeated rows are
-packed each by itself (rows with one id and text get their places in any order);
+Defined cases: a null or empty text is the end id alone; texts of any length are
+cut into pieces, none is left out; repeated rows are packed each by itself (rows with one id and text get their places in any order);
 a null id is an id like any other; an empty table gives no rows.
 """
 
@@ -35,6 +37,10 @@ CAPACITY = 2048
 END_ID = 0
 #: Words kept with their ids in each Python worker.
 CACHED_WORDS = 250_000
+#: Longest word that is kept, so that the store is bounded in bytes too.
+KEPT_BYTES = 64
+#: How often what a fit leaves is fitted again.
+FITS = 3
 #: Pieces of a length that are ranked together.
 BUCKET_ROWS = 256
 #: A full stop or comma that is a token by itself.
@@ -92,20 +98,24 @@ class WordTokens:
         """Ids of texts as little-endian unsigned 32-bit numbers, without special ids.
 
         The first words met are the commonest, so they stay in the store when
-        it is full, and others are encoded for their slice alone.
+        it is full; others, and long ones, are encoded for their slice alone.
         """
         split = [self.split(x) for x in texts]
         every = set().union(*split)
         new = list(every.difference(self.words))
-        known, room = self.words, CACHED_WORDS - len(self.words)
-        if len(new) > room:
+        known = self.words
+        if len(new) > CACHED_WORDS - len(self.words):
             known = {w: self.words[w] for w in every if w in self.words}
         for at in range(0, len(new), 4096):
             part = self._ids(new[at : at + 4096])
             known.update(part)
             if known is not self.words and len(self.words) < CACHED_WORDS:
                 self.words.update(part)
-        return [b"".join(map(known.__getitem__, x)) for x in split]
+        ids = [b"".join(map(known.__getitem__, x)) for x in split]
+        for w in new:
+            if len(w) > KEPT_BYTES:
+                self.words.pop(w, None)
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -239,19 +249,26 @@ def plan_packing(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
     if left[capacity]:
         plan.append((((capacity, 1),), int(left[capacity])))
         left[capacity] = 0
-    patterns = candidate_patterns(left > 0, capacity)
-    if patterns:
-        fitted = fit_counts(patterns, left.astype(float))
-        for i in np.argsort(-fitted, kind="stable").tolist():
-            if fitted[i] < 1:
-                break
-            times = Counter(patterns[i])
-            many = min(int(fitted[i]), *(left[x] // k for x, k in times.items()))
-            if many > 0:
-                plan.append((tuple(sorted(times.items(), reverse=True)), int(many)))
-                for x, k in times.items():
-                    left[x] -= many * k
-    return plan + pack_residuals(left, capacity)
+    size = lambda p: sum(many for _, many in p)
+    best = plan + pack_residuals(left, capacity)
+    for _ in range(FITS):
+        added: Plan = []
+        if patterns := candidate_patterns(left > 0, capacity):
+            fitted = fit_counts(patterns, left.astype(float))
+            for i in np.argsort(-fitted, kind="stable").tolist():
+                if fitted[i] < 1:
+                    break
+                times = Counter(patterns[i])
+                many = min(int(fitted[i]), *(left[x] // k for x, k in times.items()))
+                if many > 0:
+                    added.append((tuple(sorted(times.items(), reverse=True)), int(many)))
+                    for x, k in times.items():
+                        left[x] -= many * k
+        if not added:
+            break
+        plan = plan + added
+        best = min(best, plan + pack_residuals(left, capacity), key=size)
+    return best
 
 
 def slots(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
