@@ -3,11 +3,13 @@
 Every document gets integer measures. A mergeable quantile sketch (a histogram
 with integer, logarithmically growing buckets: counts simply add up, in any
 order, to the same sketch) of each measure gives the usual range for each
-(language, source); a document far outside it is rejected. Sketches of small
+(language, source); a document far outside it is rejected. Both limits stand off
+the median by the width of the lower half alone, so junk, which lies above, can't
+widen the limit that is to stop it while it is fewer than half. Sketches of small
 groups are too coarse, so they fall back on the language's, then on all data's
 sketch, which are merges of the same counts.
 
-Defined cases: a null text has no words and fails the base rule; null language
+Defined cases: texts of any length are measured as a whole; a null text has no words and fails the base rule; null language
 or source is a group of its own; repeated rows count and are judged each by
 itself; other columns, whatever their names, pass through ``quality_filter``.
 """
@@ -39,9 +41,9 @@ RULES = {
 }
 #: Documents that a sketch must hold to be used for its own group.
 LEAST_DOCS = 100
-#: How far a value may lie outside the quantiles, in widths (outer quantile to median).
-REACH = 4
-LOW, MIDDLE, HIGH = 0.1, 0.5, 0.9
+#: How far a value may lie from the median, in widths (low quantile to median).
+REACH = 5
+LOW, MIDDLE = 0.1, 0.5
 
 _DROPPED = bytes(set(range(256)) - set(SYMBOLS))
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -128,11 +130,12 @@ def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source")
         at = Window.partitionBy(*keys, "rule")
         ranked = merged.withColumn("total", F.sum("n").over(at)).withColumn("up_to", F.sum("n").over(at.orderBy("b")))
         q = lambda p: F.min(F.when(F.col("up_to") >= F.ceil(F.col("total") * p), bucket_value(F.col("b"))))
-        found = ranked.groupBy(*keys, "rule").agg(F.max("total").alias("total"), q(LOW).alias("lo"), q(MIDDLE).alias("mid"), q(HIGH).alias("hi"))
+        found = ranked.groupBy(*keys, "rule").agg(F.max("total").alias("total"), q(LOW).alias("lo"), q(MIDDLE).alias("mid"))
         least = F.create_map(*[F.lit(x) for r, v in RULES.items() for x in (r, v[1])])[F.col("rule")].cast("long")
         sides = F.create_map(*[F.lit(x) for r, v in RULES.items() for x in (r, v[2])])[F.col("rule")]
-        low = F.when(sides == "both", F.col("lo") - REACH * F.greatest(F.col("mid") - F.col("lo"), F.lit(0)) - least)
-        return found.select(*keys, "rule", "total", F.struct(low.alias("low"), (F.col("hi") + REACH * (F.col("hi") - F.col("mid")) + least).alias("high")).alias("range"))
+        reach = REACH * (F.col("mid") - F.col("lo")) + least
+        low = F.when(sides == "both", F.col("mid") - reach)
+        return found.select(*keys, "rule", "total", F.struct(low.alias("low"), (F.col("mid") + reach).alias("high")).alias("range"))
 
     own, by_lang, overall = ranges(["lang", "source"]), ranges(["lang"]).withColumnRenamed("range", "lang_range").withColumnRenamed("total", "lang_total"), ranges([]).withColumnRenamed("range", "all_range").drop("total")
     same_lang = own["lang"].eqNullSafe(by_lang["lang"]) & (own["rule"] == by_lang["rule"])
@@ -189,8 +192,9 @@ def _sql() -> str:
 
     def ranges(keys: str) -> str:
         by = f"{keys}, rule" if keys else "rule"
-        return f"""SELECT {by}, max(total) AS total, CASE WHEN rule IN ({both}) THEN min(v) FILTER (WHERE up_to >= ceil(total * {LOW}e0)) - {REACH} * greatest(min(v) FILTER (WHERE up_to >= ceil(total * {MIDDLE}e0)) - min(v) FILTER (WHERE up_to >= ceil(total * {LOW}e0)), 0) - CASE rule {least} END END AS low,
-            min(v) FILTER (WHERE up_to >= ceil(total * {HIGH}e0)) + {REACH} * (min(v) FILTER (WHERE up_to >= ceil(total * {HIGH}e0)) - min(v) FILTER (WHERE up_to >= ceil(total * {MIDDLE}e0))) + CASE rule {least} END AS high
+        q = lambda p: f"min(v) FILTER (WHERE up_to >= ceil(total * {p}e0))"
+        reach = f"({REACH} * ({q(MIDDLE)} - {q(LOW)}) + CASE rule {least} END)"
+        return f"""SELECT {by}, max(total) AS total, CASE WHEN rule IN ({both}) THEN {q(MIDDLE)} - {reach} END AS low, {q(MIDDLE)} + {reach} AS high
         FROM (SELECT {by}, CASE WHEN b < 64 THEN b ELSE (b - (b // 32 - 1) * 32) << (b // 32 - 1) END AS v, sum(n) OVER (PARTITION BY {by}) AS total, sum(n) OVER (PARTITION BY {by} ORDER BY b) AS up_to
               FROM (SELECT {by}, b, sum(n) AS n FROM counts GROUP BY {by}, b)) GROUP BY {by}"""
 

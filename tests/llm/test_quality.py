@@ -52,6 +52,20 @@ def test_table(mixed):
     assert quality_table(mixed.limit(0)).count() == 0
 
 
+def test_junk_does_not_widen_its_own_limit(make_docs):
+    """A fifth of a source is junk, which would be within four widths of its own upper quantiles."""
+    clean = [(i, " ".join(f"word{(i * 31 + j * j) % 997}" for j in range(60)), "en", "spam") for i in range(160)]
+    junk = [(500 + i, " ".join(f"word{(i * 7 + j * j) % 991}" + "$" * (j % (2 + i % 5) == 0) for j in range(60)), "en", "spam") for i in range(40)]
+    kept = {r.doc_id: r.kept for r in quality_table(make_docs(clean + junk)).collect()}
+    assert all(kept[i] for i, *_ in clean) and not any(kept[i] for i, *_ in junk)
+
+
+def test_long_texts(make_docs):
+    words = " ".join(f"w{i * i % 99991}" for i in range(300_000))
+    row = quality_table(make_docs([(1, words)])).first()
+    assert (row.n_words, row.n_lines) == (300_000, 1) and row.word_chars == len(words.replace(" ", ""))
+
+
 def test_filter_keeps_columns_and_agrees(mixed):
     out = quality_filter(mixed)
     assert out.columns == mixed.columns
