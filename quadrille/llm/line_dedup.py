@@ -6,24 +6,30 @@ segment by segment, in parallel: what is in two once-seen filters becomes
 twice-seen. Only lines in the twice-seen filter (true repeats and a few false
 ones) are shuffled, to be counted exactly. Lines that occur once never move.
 
-The filters have 16 bits for each line up to ``MOST_BITS``; beyond that they
-fill up and more lines are counted exactly, which costs time, not correctness.
-That bound is also the bound of what is broadcast.
+What moves of a suspected line is a cryptographic digest of ``DIGEST_BYTES``, on
+which lines are held equal, and its document's id, however long the line is.
+Digests that hold more than a thousandth of all these rows are at most a thousand,
+so they find their rows by a broadcast, and no line's rows meet in one task.
+
+The filters have 16 bits for each line up to ``MOST_BITS``, which is also the
+bound of what is broadcast and of what a task holds. Beyond that they fill up and
+more lines are suspected: some 20 bytes move for each, and the result is the same.
 
 Defined cases: a null or empty text is one empty line; empty lines (after
-stripping) have no key and always stay; every row counts as a document of its
-own, also if it repeats another; null ids are matched like any other value;
-other columns, whatever their names, pass through ``line_dedup``.
+stripping) have no key and always stay; texts and lines of any length are taken
+as a whole; every row counts as a document of its own, also if it repeats
+another; null ids are matched like any other value; other columns, whatever their
+names, pass through ``line_dedup``.
 """
 
 from __future__ import annotations
 
 import zlib
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +40,9 @@ LEAST_DOCS = 10
 BITS_PER_LINE = 16
 LEAST_BITS, MOST_BITS = 1 << 19, 1 << 29
 SEGMENT_BYTES = 1 << 16
+DIGEST_BYTES = 16
+#: A digest with one in so many of the repeated lines' rows is joined by a broadcast of at most so many digests.
+HOT_SHARE = 1000
 
 
 def line_key(line: bytes) -> bytes:
@@ -41,15 +50,20 @@ def line_key(line: bytes) -> bytes:
     return line.strip().lower()
 
 
+def digest(key: bytes) -> bytes:
+    return blake2b(key, digest_size=DIGEST_BYTES).digest()
+
+
 def line_keys(text: bytes) -> set[bytes]:
+    """The digests of a text's keys."""
     keys = set(map(line_key, text.split(b"\n")))
     keys.discard(b"")
-    return keys
+    return set(map(digest, keys))
 
 
 def positions(keys: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two filter positions of each key; ``bits`` is a power of two up to 2 ** 32."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
+    """The two filter positions of each digest; ``bits`` is a power of two up to 2 ** 32."""
+    h = np.frombuffer(b"".join(keys), "<u8").reshape(-1, DIGEST_BYTES // 8)[:, 0]
     mask = np.uint64(bits - 1)
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
@@ -132,7 +146,7 @@ def repeat_filter(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, first): every document's keys that at least ``least_docs`` documents have; ``first`` is the smallest id with the key."""
+    """(doc_id, key, first): every document's digests that at least ``least_docs`` documents have; ``first`` is the smallest id with the digest."""
     seen = docs.sparkSession.sparkContext.broadcast(repeat_filter(docs, text))
 
     def make():
@@ -147,15 +161,19 @@ def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, doc_id: str =
                 rows += [i] * len(k)
             a, b = positions(keys, bits)
             hit = np.flatnonzero(TwoFilters.has(bitmap, a) & TwoFilters.has(bitmap, b))
-            found = pa.array([keys[i] for i in hit.tolist()], pa.binary()).cast(pa.string())
+            found = pa.array([keys[i] for i in hit.tolist()], pa.binary())
             return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(rows, np.int64)[hit])), found], ["doc_id", "key"])
 
         return each
 
     picked = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    suspects = materialize(map_texts(picked, make, "doc_id long, key string"))
-    exact = suspects.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= least_docs)
-    return suspects.join(exact.select("key", "first"), "key")
+    suspects = materialize(map_texts(picked, make, "doc_id long, key binary"))
+    exact = materialize(suspects.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= least_docs))
+    total = exact.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT_SHARE >= total
+    hot = F.broadcast(exact.where(is_hot).select("key", "first"))  # at most HOT_SHARE digests
+    others = suspects.join(hot.select("key"), "key", "left_anti").join(exact.where(~is_hot).select("key", "first"), "key")
+    return suspects.join(hot, "key").unionByName(others)
 
 
 def line_dedup(docs: DataFrame, least_docs: int = LEAST_DOCS, keep: str = "none", doc_id: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
@@ -177,7 +195,7 @@ def line_dedup(docs: DataFrame, least_docs: int = LEAST_DOCS, keep: str = "none"
             texts, n_lines, n_dropped = [], [], []
             for x, drop in zip(as_bytes(batch.column(at)), as_lists(batch.column(len(docs_columns)))):
                 lines = x.split(b"\n")
-                kept = [w for w in lines if line_key(w) not in drop] if drop else lines
+                kept = [w for w in lines if not ((k := line_key(w)) and digest(k) in drop)] if drop else lines
                 texts.append(b"\n".join(kept))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
@@ -193,7 +211,7 @@ def line_dedup(docs: DataFrame, least_docs: int = LEAST_DOCS, keep: str = "none"
         return each
 
     def as_lists(column):
-        return [{k.encode() for k in x} if x else None for x in column.to_pylist()]
+        return [set(x) if x else None for x in column.to_pylist()]
 
     docs_columns = docs.columns
     more = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] if counts else []

@@ -4,7 +4,9 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 
+from quadrille.llm import line_dedup as line_dedup_module
 from quadrille.llm.line_dedup import OP7_SQL, TwoFilters, line_dedup, op7_line_dedup, repeat_filter
 
 
@@ -34,6 +36,15 @@ def test_rows(make_docs):
     assert line_dedup(docs).where("doc_id = 20").first().text is None
 
 
+@pytest.mark.parametrize("name,value", [("MOST_BITS", 1 << 19), ("HOT_SHARE", 1), ("HOT_SHARE", 10**9)])
+def test_full_filters_and_hot_lines_change_nothing(make_docs, monkeypatch, name, value):
+    monkeypatch.setattr(line_dedup_module, name, value)
+    monkeypatch.setattr(line_dedup_module, "LEAST_BITS", 1 << 19)
+    rows = [(i, "\n".join(f"{i % 7} {j % 90}" for j in range(i, i + 60)) + f"\nonly {i}") for i in range(300)]
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup(make_docs(rows), counts=True).collect())
+    assert got == sorted(brute(rows))
+
+
 def test_first_occurrence_stays(make_docs):
     out = {r.doc_id: r.text for r in line_dedup(make_docs(ROWS), keep="first").collect()}
     assert out[0] == ROWS[0][1].replace("Ét é0", "Ét é0") and "Shared LINE" not in out[1] and out[24] == ""
@@ -42,9 +53,9 @@ def test_first_occurrence_stays(make_docs):
 def test_filter_has_every_repeat(make_docs):
     docs = make_docs(ROWS)
     bitmap = repeat_filter(docs)
-    from quadrille.llm.line_dedup import positions
+    from quadrille.llm.line_dedup import digest, positions
 
-    a, b = positions([b"shared line"], len(bitmap) * 8)
+    a, b = positions([digest(b"shared line")], len(bitmap) * 8)
     assert (TwoFilters.has(bitmap, a) & TwoFilters.has(bitmap, b)).all()
     assert np.unpackbits(bitmap).sum() < 200
 
