@@ -1,7 +1,9 @@
-"""Elements as triples: (g, s, p, o, o_kind, o_datatype)."""
+"""Elements as triples: (s, p, o, o_kind, o_datatype)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,20 +32,23 @@ def subject(kind: Column, id: Column) -> Column:
 
 
 def _triples(df: DataFrame, s: Column, *rows: tuple[Column | str, Column, str, str | None]) -> DataFrame:
-    """A row of triples for each row of ``df``; those with a null object are left out."""
-    each = F.array(*[F.struct(s.alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(datatype).cast("string").alias("o_datatype")) for p, o, kind, datatype in rows])
-    return df.select(F.explode(each).alias("t")).select("t.*").where("o is not null")
+    """A branch of triples for each predicate, so that a constant predicate in a pattern prunes all others; null objects are left out."""
+    parts = [df.select(s.alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(datatype).cast("string").alias("o_datatype")).where("o is not null") for p, o, kind, datatype in rows]
+    return reduce(DataFrame.union, parts)
 
 
 def element_triples(e: Elements) -> DataFrame:
-    """Type, identifier, coordinates, tags (as predicate and as subject concept) and members of all elements."""
+    """Type, identifier, coordinates, tags (as predicate and as subject concept) and members of all elements, each once.
+
+    An element has one type, identifier and place; only tags and members may repeat.
+    """
     named = all_elements(e).withColumn("s", subject(F.col("type"), F.col("id")))
     out = _triples(named, F.col("s"), (TYPE, F.concat(F.lit("osm:"), F.initcap("type")), "iri", None), (IDENTIFIER, F.col("id"), "literal", None))
     out = out.union(_triples(e.nodes, subject(F.lit("node"), F.col("id")), (LAT, fixed7(F.col("lat7")), "literal", "xsd:decimal"), (LONG, fixed7(F.col("lon7")), "literal", "xsd:decimal")))
     tagged = all_tags(e).withColumn("s", subject(F.col("type"), F.col("id")))
     concept = F.concat(F.lit("/tag/"), percent_encoded(F.col("k")), F.lit("="), percent_encoded(F.col("v")), F.lit("#concept"))
-    out = out.union(_triples(tagged, F.col("s"), (F.concat(F.lit("/tag/"), F.col("k")), F.col("v"), "literal", None), (SUBJECT, concept, "iri", None)))
-    return out.union(_triples(e.relation_members, subject(F.lit("relation"), F.col("rel_id")), (SEE_ALSO, subject(F.col("type"), F.col("ref")), "iri", None))).distinct()
+    out = out.union(_triples(tagged, F.col("s"), (F.concat(F.lit("/tag/"), F.col("k")), F.col("v"), "literal", None), (SUBJECT, concept, "iri", None)).distinct())
+    return out.union(_triples(e.relation_members, subject(F.lit("relation"), F.col("rel_id")), (SEE_ALSO, subject(F.col("type"), F.col("ref")), "iri", None)).distinct())
 
 
 def changeset_triples(changesets: DataFrame) -> DataFrame:

@@ -141,12 +141,12 @@ def around_nodes(e):
 
 
 @query(
-    f", found AS (SELECT a.id AS left_id, b.id AS right_id, {_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS metres FROM nodes a JOIN nodes b ON abs(a.lat7 - b.lat7) < 100000 AND a.id % 10 = 1 AND b.id % 10 = 2) SELECT left_id, right_id, round(metres, 3) AS metres FROM found WHERE metres <= 500", "nodes"
+    f", found AS (SELECT a.id AS left_id, b.id AS right_id, {_haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS metres FROM nodes a JOIN nodes b ON abs(a.lat7 - b.lat7) < 100000 AND a.id < b.id) SELECT left_id, right_id, round(metres, 3) AS metres FROM found WHERE metres <= 500", "nodes"
 )
 def around_join(e):
-    """Nodes of one kind within 500 m of nodes of another kind; the kinds are part of the question."""
-    kind = lambda n: e.nodes.where(F.col("id") % 10 == n)
-    return select.around_pairs(kind(1), kind(2), 500.0).select("left_id", "right_id", F.round("metres", 3).alias("metres"))
+    """All pairs of nodes within 500 m of each other, once each."""
+    pairs = select.around_pairs(e.nodes, e.nodes, 500.0).where("left_id < right_id")
+    return pairs.select("left_id", "right_id", F.round("metres", 3).alias("metres"))
 
 
 @query("SELECT way_id AS id, count(*) AS n FROM way_nodes JOIN nodes ON node_id = id GROUP BY way_id HAVING bool_and(lat7 BETWEEN -900000000 AND 900000000 AND lon7 BETWEEN -1800000000 AND 1800000000)", "nodes", "way_nodes")
@@ -450,13 +450,13 @@ def inner_ring_assignment(e):
 
 # Topology --------------------------------------------------------------------
 
-BOXES = ", boxes AS (SELECT id, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM placed JOIN kinds USING (id) WHERE kind = 'Polygon' AND id % 50 = 0 GROUP BY id)"
+BOXES = ", boxes AS (SELECT id, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM placed JOIN kinds USING (id) WHERE kind = 'Polygon' GROUP BY id)"
 CELL = 0.01
 
 
 def _areas(e):
-    """The areas asked about: closed ways whose id ends in 00 or 50."""
-    return _kinds(e).where("kind = 'Polygon' AND id % 50 = 0")
+    """All closed ways."""
+    return _kinds(e).where("kind = 'Polygon'")
 
 
 @query(LINES + BOXES + " SELECT nodes.id AS point_id, boxes.id AS box_id FROM nodes JOIN boxes ON lon BETWEEN west AND east AND lat BETWEEN south AND north", *GEO)
@@ -467,7 +467,7 @@ def spatial_join_cells(e):
 
 @query(
     LINES + """ SELECT n.id AS point_id, s.id AS area_id FROM nodes n JOIN placed s ON (s.lat > n.lat) <> (s.lat2 > n.lat) AND n.lon < (s.lon2 - s.lon) * (n.lat - s.lat) / (s.lat2 - s.lat) + s.lon
-    WHERE s.id IN (SELECT id FROM kinds WHERE kind = 'Polygon' AND id % 50 = 0) GROUP BY n.id, s.id HAVING count(*) % 2 = 1""", *GEO
+    WHERE s.id IN (SELECT id FROM kinds WHERE kind = 'Polygon') GROUP BY n.id, s.id HAVING count(*) % 2 = 1""", *GEO
 )
 def points_in_areas(e):
     return spatial_join.points_in_areas(e.nodes.select("id", "lon", "lat"), _areas(e).select("id", "pts"), CELL)
@@ -542,7 +542,7 @@ def percent_encode(e):
 TRIPLES = (
     TAGS
     + """, members AS (SELECT * FROM relation_members), named AS (SELECT 'node' AS type, id FROM nodes UNION ALL SELECT 'way', id FROM ways UNION ALL SELECT 'relation', id FROM relations),
-    triples AS (
+    triples AS MATERIALIZED (
         SELECT '/osm/' || type || '/' || id || '#id' AS s, 'rdf:type' AS p, 'osm:' || upper(type[1]) || type[2:] AS o, 'iri' AS o_kind, NULL AS o_datatype FROM named
         UNION SELECT '/osm/' || type || '/' || id || '#id', 'dcterms:identifier', id::varchar, 'literal', NULL FROM named
         UNION SELECT '/osm/node/' || id || '#id', 'geo:lat', format('{}.{:07d}', lat7 // 10000000, lat7 % 10000000), 'literal', 'xsd:decimal' FROM nodes
