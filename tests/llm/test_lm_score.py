@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from quadrille.llm import lm_score
-from quadrille.llm.lm_score import CLASSES, score_texts, train_model
+from quadrille.llm.lm_score import Layout, Model, histories, score_texts
 
 
 def brute(rows):
@@ -28,19 +28,36 @@ def test_base(make_docs, monkeypatch):
 
 
 def test_model_is_normalised_and_learns():
+    """Probabilities of all symbols sum to one, and come near the truth that texts were drawn from."""
     rng = np.random.default_rng(0)
-    true = rng.dirichlet(np.full(CLASSES, 0.02), 6)
-    pairs = np.zeros((CLASSES, CLASSES))
-    for k in range(6):
-        pairs[k] = rng.multinomial(20_000, true[k])
-    table = train_model(pairs)
-    assert np.allclose((10**table).sum(axis=1), 1)
-    held = np.zeros_like(pairs)
-    for k in range(6):
-        held[k] = rng.multinomial(5_000, true[k])
-    unigram = np.log10((pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * CLASSES))
-    assert (held * table).sum() > (held * unigram).sum() + 0.1 * held.sum()
-    assert np.allclose(train_model(np.zeros((4, 4))), -np.log10(4))
+    layout = Layout(40)
+    n = layout.symbols
+    true = rng.dirichlet(np.full(41, 0.1), 41)
+    walk = lambda steps: np.array([w := 0, *[w := rng.choice(41, p=true[w]) for _ in range(steps)]][1:])
+    seen, held = walk(60_000), walk(4_000)
+    model = Model(layout, np.bincount(seen, minlength=n).astype(float))
+    train_on = model.trainer(rng)
+    history, target = histories(seen)
+    for _ in range(4):
+        for at in range(0, len(target), 256):
+            train_on(history[at : at + 256], target[at : at + 256])
+    score = model.scorer()
+    some, _ = histories(held[:50])
+    every = np.array([score(some, np.full(len(some), s)) for s in range(n)])
+    assert np.allclose((10.0**every).sum(axis=0), 1, atol=1e-4)
+    history, target = histories(held)
+    got = score(history, target).sum()
+    unigram = np.log10((np.bincount(seen, minlength=n)[target] + 0.5) / (len(seen) + 0.5 * n)).sum()
+    best = np.log10(true[np.append(0, held[:-1]), held]).sum()
+    assert got > unigram + 0.6 * (best - unigram)
+
+
+def test_scores_do_not_depend_on_the_batch(make_docs, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(60))) for i in range(60)] + [(99, "w1 " * 30_000)]
+    one = {r.doc_id: r.score for r in score_texts(make_docs(rows, 1)).collect()}
+    monkeypatch.setattr(lm_score, "SCORED_TOKENS", 50)
+    other = {r.doc_id: r.score for r in score_texts(make_docs(rows, 1)).collect()}
+    assert all(math.isclose(one[i], other[i], rel_tol=1e-4) for i in one)
 
 
 def test_model_beats_counts_on_held_out_texts(make_docs):
