@@ -43,18 +43,18 @@ FOLDS, HELD_OUT = 5, 1
 #: Words with vectors: how many tokens they need, and how many words there may be.
 MODEL_COUNT, MODEL_WORDS = 30, 1 << 15
 #: Symbols that words without a vector share, by their last characters.
-ENDINGS = 64
+ENDINGS = 32
 #: Commonest words whose counts are broadcast, and the longest of them in bytes.
 HEAD_WORDS, HEAD_BYTES = 100_000, 64
 #: Symbols of a history, and components of a vector.
-ORDER, SIZE = 3, 32
+ORDER, SIZE = 2, 24
 #: Noise for a minibatch's classes, and for each word within its class.
 NOISE, WORD_NOISE = 32, 2
 BATCH, RATE, ROUNDS = 1024, 0.15, 1
 #: A task with fewer tokens goes through them again, but so often at most.
 LEAST_TOKENS, MOST_PASSES = 200_000, 20
 #: Tokens that are scored at once.
-SCORED_TOKENS = 1 << 14
+SCORED_TOKENS = 1 << 15
 #: Numbers of a block in which vectors are averaged.
 BLOCK = 1 << 14
 SEED = 8
