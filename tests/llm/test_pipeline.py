@@ -21,7 +21,7 @@ def folder(make_docs, tmp_path_factory):
     shared = [(200 + i, f"{clean[i][1][::-1]}\nA line that very many documents share, licence and all.") for i in range(15)]
     copies = [(300 + i, clean[3][1]) for i in range(3)] + [(310 + i, clean[5][1].upper().lower() + "\nlast") for i in range(12)]
     junk = [(400 + i, " ".join(f"w{rng.integers(5000)}###" for _ in range(50))) for i in range(5)]
-    secret = [(500, clean[8][1][::-1] + "\npassword=abcdef123456 end")]
+    secret = [(500, clean[20][1][::-1] + "\npassword=abcdef123456 end")]
     where = tmp_path_factory.mktemp("corpus")
     make_docs([*clean, *shared, *copies, *junk, *secret, (600, None), (601, "")]).write.parquet(f"{where}/documents.parquet")
     return str(where)

@@ -2,8 +2,6 @@
 
 from collections import Counter
 
-from quadrille.llm.simhash import fingerprint
-
 
 def brute_lines(texts, least=10):
     """Of lines in ten or more documents only the one in the smallest id stays; emptied documents go."""
@@ -22,19 +20,24 @@ def brute_lines(texts, least=10):
     return out
 
 
+def shingles(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def components_of(texts):
-    """The smallest id reachable by links of two bits or fewer."""
-    prints = {i: fingerprint(t.encode()) for i, t in texts.items()}
-    root = {i: i for i in prints}
+    """The smallest id reachable by links: sets of five-word shingles with a similarity of 0.8 or more."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in sorted(prints):
-        for b in sorted(prints):
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    return {i: find(i) for i in prints}
+    return {i: find(i) for i in sets}
