@@ -55,6 +55,8 @@ BATCH, RATE, ROUNDS = 1024, 0.15, 1
 LEAST_TOKENS, MOST_PASSES = 200_000, 20
 #: Tokens that are scored at once.
 SCORED_TOKENS = 1 << 15
+#: Of these, rows of class sums at once, few enough for a processor's cache.
+SCORED_ROWS = 1 << 10
 #: Numbers of a block in which vectors are averaged.
 BLOCK = 1 << 14
 SEED = 8
@@ -163,83 +165,96 @@ class Model:
         upto = np.append(0, np.cumsum(self.counts[1 : words + 1] + 0.5))
         in_class = layout.class_of(np.arange(1, words + 1))
         share = (self.counts[1 : words + 1] + 0.5) / self.by_class[in_class] if words else np.zeros(0)
-        word_shift = np.log(WORD_NOISE * share + 1e-30).astype(np.float32)
+        # The noise's logarithm, and what makes a class's word biases, as they begin, logarithms of shares.
+        word_shift = (np.log(WORD_NOISE * share + 1e-30) + np.log(self.by_class[in_class])).astype(np.float32)
         seen = {k: np.full(getattr(self, k).shape[:1], 1e-6, np.float32) for k in self.NAMES}  # mean squares by row
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-        def step(name: str, rows: np.ndarray | None, slope: np.ndarray) -> None:
-            """Raise the rows of a parameter by their slopes, less the more they moved before."""
+        def sigmoid(x: np.ndarray) -> np.ndarray:
+            """In the place of x."""
+            np.clip(x, -30, 30, out=x)
+            np.exp(np.negative(x, out=x), out=x)
+            x += 1
+            return np.reciprocal(x, out=x)
+
+        def step(name: str, slope: np.ndarray) -> None:
+            """Raise a small parameter by its slopes, less the more it moved before."""
             p, s = getattr(self, name), seen[name]
-            if rows is None:
-                s += (slope * slope).reshape(len(s), -1).mean(axis=1)
-                p += (RATE / np.sqrt(s)).reshape(-1, *[1] * (p.ndim - 1)) * slope
-                return
+            s += (slope * slope).reshape(len(s), -1).mean(axis=1)
+            p += (RATE / np.sqrt(s)).reshape(-1, *[1] * (p.ndim - 1)) * slope
+
+        def step_rows(rows: np.ndarray, **slopes: np.ndarray) -> None:
+            """The same for these rows of parameters, where a row may be named often."""
             order = np.argsort(rows.astype(np.uint16), kind="stable")  # symbols are fewer, and short integers sort faster
             rows = rows[order]
             first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-            rows, slope = rows[first], np.add.reduceat(slope[order], first, axis=0)
-            s[rows] += (slope * slope).reshape(len(rows), -1).mean(axis=1)
-            rate = RATE / np.sqrt(s[rows])
-            p[rows] += (rate[:, None] if p.ndim > 1 else rate) * slope
+            rows = rows[first]
+            for name, slope in slopes.items():
+                p, s = getattr(self, name), seen[name]
+                slope = np.add.reduceat(slope.take(order, axis=0), first, axis=0)
+                if p.ndim > 1:
+                    s[rows] = now = s[rows] + np.einsum("ij,ij->i", slope, slope) / SIZE
+                    slope *= (RATE / np.sqrt(now))[:, None]
+                else:
+                    s[rows] = now = s[rows] + slope * slope
+                    slope *= RATE / np.sqrt(now)
+                p[rows] += slope
 
         def train(history: np.ndarray, target: np.ndarray) -> None:
             n = len(target)
-            before = [self.R[history[:, i]] for i in range(ORDER)]
+            before = [self.R.take(history[:, i], axis=0) for i in range(ORDER)]
             h = sum(r @ c for r, c in zip(before, self.C))
             group = layout.class_of(target)
             noise = np.minimum(np.searchsorted(classes, rng.random(NOISE)), layout.classes - 1)
-            up = (1 - sigmoid((h * self.A[group]).sum(axis=1) + self.a[group] - class_shift[group])) / n
-            down = -sigmoid(h @ self.A[noise].T + self.a[noise] - class_shift[noise]) / n
-            back = up[:, None] * self.A[group] + down @ self.A[noise]
-            both = np.concatenate([group, noise])
-            slopes = np.concatenate([up[:, None] * h, down.T @ h]), np.concatenate([up, down.sum(axis=0)])
+            own, of_noise = self.A.take(group, axis=0), self.A[noise]
+            up = (1 - sigmoid(np.einsum("bd,bd->b", h, own) + self.a[group] - class_shift[group])) / n
+            down = sigmoid(h @ of_noise.T + (self.a[noise] - class_shift[noise])) / -n
+            back = up[:, None] * own + down @ of_noise
             at = np.flatnonzero((target >= 1) & (target <= words))
             if len(at):
                 word = target[at] - 1
                 low, high = layout.bounds(group[at])
                 draws = upto[low][:, None] + rng.random((len(at), WORD_NOISE)) * (upto[high] - upto[low])[:, None]
                 other = np.clip(np.searchsorted(upto, draws, "right") - 1, low[:, None], high[:, None] - 1)
-                mine = h[at]
-                gain = (1 - sigmoid((mine * self.Q[word]).sum(axis=1) + self.q[word] - self._level(group[at]) - word_shift[word])) / n
-                loss = -sigmoid(np.einsum("bd,bkd->bk", mine, self.Q[other]) + self.q[other] - self._level(group[at])[:, None] - word_shift[other]) / n
-                back[at] += gain[:, None] * self.Q[word] + np.einsum("bk,bkd->bd", loss, self.Q[other])
-                some = np.concatenate([word, other.reshape(-1)])
-                word_slopes = np.concatenate([gain[:, None] * mine, (loss[:, :, None] * mine[:, None, :]).reshape(-1, SIZE)]), np.concatenate([gain, loss.reshape(-1)])
-                step("Q", some, word_slopes[0])
-                step("q", some, word_slopes[1])
-            step("A", both, slopes[0])
-            step("a", both, slopes[1])
+                mine, own, others = h.take(at, axis=0), self.Q.take(word, axis=0), self.Q.take(other, axis=0)
+                gain = (1 - sigmoid(np.einsum("bd,bd->b", mine, own) + self.q[word] - word_shift[word])) / n
+                loss = sigmoid(np.einsum("bd,bkd->bk", mine, others) + self.q[other] - word_shift[other]) / -n
+                back[at] += gain[:, None] * own + np.einsum("bk,bkd->bd", loss, others)
+                pulls = np.concatenate([gain[:, None], loss], axis=1)  # the word, then its noise
+                step_rows(np.concatenate([word[:, None], other], axis=1).reshape(-1), Q=(pulls[:, :, None] * mine[:, None, :]).reshape(-1, SIZE), q=pulls.reshape(-1))
+            step_rows(np.concatenate([group, noise]), A=np.concatenate([up[:, None] * h, down.T @ h]), a=np.concatenate([up, down.sum(axis=0)]))
             turned = [back @ c.T for c in self.C]
-            step("C", None, np.stack([r.T @ back for r in before]))
-            step("R", history.T.reshape(-1), np.concatenate(turned))
+            step("C", np.stack([r.T @ back for r in before]))
+            step_rows(history.T.reshape(-1), R=np.concatenate(turned))
 
         return train
 
-    def _level(self, group: np.ndarray) -> np.ndarray:
-        """What makes a class's word biases, as they begin, logarithms of shares."""
-        return np.log(self.by_class[group]).astype(np.float32)
-
     def scorer(self):
         """A function from (history symbols, next symbol) to normalised log10-probabilities of the symbols."""
         moved = [self.R @ c for c in self.C]
         layout = self.layout
 
         def log_sum(x: np.ndarray) -> np.ndarray:
-            top = x.max(axis=1, keepdims=True)
-            return np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
+            """In the place of x."""
+            top = x.max(axis=1)
+            x -= top[:, None]
+            return np.log(np.exp(x, out=x).sum(axis=1)) + top
 
         def score(history: np.ndarray, target: np.ndarray) -> np.ndarray:
             h = sum(m[history[:, i]] for i, m in enumerate(moved))
             group = layout.class_of(target)
-            logits = h @ self.A.T + self.a
-            out = (logits[np.arange(len(h)), group] - log_sum(logits)).astype(np.float64)
+            out = np.zeros(len(h))
+            for s in range(0, len(h), SCORED_ROWS):
+                logits = h[s : s + SCORED_ROWS] @ self.A.T
+                logits += self.a
+                out[s : s + SCORED_ROWS] = logits[np.arange(len(logits)), group[s : s + SCORED_ROWS]] - log_sum(logits)
             at = np.flatnonzero((target >= 1) & (target <= layout.words))
             at = at[np.argsort(group[at], kind="stable")]
             if len(at):
                 cuts = np.flatnonzero(np.diff(group[at])) + 1
                 for part in np.split(at, cuts):
                     low, high = (int(x) for x in layout.bounds(group[part[0]]))
-                    logits = h[part] @ self.Q[low:high].T + self.q[low:high]
+                    logits = h[part] @ self.Q[low:high].T
+                    logits += self.q[low:high]
                     out[part] += logits[np.arange(len(part)), target[part] - 1 - low] - log_sum(logits)
             return out / np.log(10)
 
@@ -325,14 +340,21 @@ def trained(train: DataFrame, own, model: Model) -> Model:
 
 def reader(own: dict[bytes, int]):
     """A function from words to their symbols and the end's; it keeps those of words that it has met."""
-    known: dict[bytes, int] = {}
     words_in = len(own)
 
+    class Known(dict):
+        def __missing__(self, word: bytes) -> int:
+            found = self[word] = own.get(word) or 1 + words_in + ending(word)
+            return found
+
+    known = Known()
+
     def symbols_of(words: list[bytes]) -> np.ndarray:
+        found = np.zeros(len(words) + 1, np.int64)
+        found[:-1] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         if len(known) > COUNTED_WORDS:
             known.clear()
-        known.update((w, own.get(w) or 1 + words_in + ending(w)) for w in set(words).difference(known))
-        return np.array([*map(known.__getitem__, words), 0], np.int64)
+        return found
 
     return symbols_of
 
