@@ -151,8 +151,14 @@ def links(distinct: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (u, v) reaches; values compare as signed longs."""
     edges = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    before = None
-    while True:
+
+    def are_stars() -> bool:
+        """Whether every node is either a root or in one edge only, so nothing is left to exchange."""
+        ends = edges.selectExpr("v AS node", "1 AS below", "0 AS above").union(edges.selectExpr("u", "0", "1"))
+        nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        return nodes.where("below > 1 OR below + above > 1").isEmpty()
+
+    while not are_stars():
         # Large star: every node's larger neighbours point to its least neighbour.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -162,10 +168,7 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = down.groupBy("n").agg(F.min("s").alias("m"))
         small = down.join(lowest, "n").select(F.col("m").alias("u"), F.col("s").alias("v")).union(lowest.select(F.col("m").alias("u"), F.col("n").alias("v")))
         edges = materialize(small.where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        before = now
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
