@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,3 +95,66 @@ def block_lookup(index: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     guess = wanted.withColumn("block", F.floor(F.col("id") / rows))
     fits = F.col("id").between(F.col("min_id"), F.col("max_id"))
     return guess.join(index, "block", "left").select("id", F.when(fits, F.col("block")).alias("block"))
+
+
+def _wanted(e: Elements, start: DataFrame) -> DataFrame:
+    """(of_type, of_id, type, id): the direct references of ``start`` (type, id), once each; a relation is no member of itself."""
+    refs = _refs(e).select(F.col("type").alias("of_type"), F.col("id").alias("of_id"), F.col("to_type").alias("type"), F.col("to_id").alias("id"))
+    own = refs.join(start.select(F.col("type").alias("of_type"), F.col("id").alias("of_id")), ["of_type", "of_id"], "left_semi")
+    return own.where("NOT (of_type = 'relation' AND type = 'relation' AND of_id = id)").distinct()
+
+
+def _complete_ways(e: Elements, ways: DataFrame) -> DataFrame:
+    """(id) of ``ways`` (id) that exist, have nodes and find all of them: as many found as wanted."""
+    refs = e.way_nodes.join(ways.select(F.col("id").alias("way_id")), "way_id", "left_semi").select("way_id", "node_id").distinct()
+    there = e.nodes.select(F.col("id").alias("node_id"), F.lit(1).alias("found"))
+    counted = refs.join(there, "node_id", "left").groupBy(F.col("way_id").alias("id")).agg(F.count("*").alias("wanted"), F.count("found").alias("found"))
+    return counted.where("wanted = found").select("id").join(e.ways, "id", "left_semi")
+
+
+def complete(e: Elements, start: DataFrame) -> DataFrame:
+    """(type, id) of ``start`` (type, id) that can be answered completely.
+
+    A node must exist. A way must exist and find all of its nodes. A relation must exist and find every direct member:
+    member ways with all of their nodes, member relations without theirs. What is missing is counted from the references
+    up: found against wanted, first for ways, then for relations.
+    """
+    start = start.select("type", "id").distinct()
+    of = lambda t: start.where(F.col("type") == t).select("id")
+    relations = of("relation").join(e.relations, "id", "left_semi")
+    wanted = _wanted(e, relations.select(F.lit("relation").alias("type"), "id"))
+    member = lambda t: wanted.where(F.col("type") == t).select("id").distinct()
+    whole = _complete_ways(e, of("way").union(member("way")).distinct())
+    nodes = of("node").join(e.nodes, "id", "left_semi")
+    there = member("node").join(e.nodes, "id", "left_semi").select(F.lit("node").alias("type"), "id")
+    there = there.union(whole.select(F.lit("way"), "id")).union(member("relation").join(e.relations, "id", "left_semi").select(F.lit("relation"), "id"))
+    counted = wanted.join(there.withColumn("found", F.lit(1)), ["type", "id"], "left").groupBy(F.col("of_id").alias("id")).agg(F.count("*").alias("wanted"), F.count("found").alias("found"))
+    lacking = counted.where("wanted > found")  # a relation without members lacks none
+    fine = relations.join(lacking, "id", "left_anti")
+    return nodes.select(F.lit("node").alias("type"), "id").union(whole.join(of("way"), "id", "left_semi").select(F.lit("way"), "id")).union(fine.select(F.lit("relation"), "id"))
+
+
+def full_complete(e: Elements, start: DataFrame) -> DataFrame:
+    """(of_type, of_id, type, id): each answerable element of ``start`` (type, id) with all it needs, itself included, once each.
+
+    An element that isn't found completely gives no row at all.
+    """
+    fine = complete(e, start)
+    wanted = _wanted(e, fine)
+    inner = wanted.where("of_type = 'relation' AND type = 'way'").join(e.way_nodes, F.col("id") == F.col("way_id"))
+    own = fine.select(F.col("type").alias("of_type"), F.col("id").alias("of_id"), "type", "id")
+    return own.union(wanted).union(inner.select("of_type", "of_id", F.lit("node"), "node_id")).distinct()
+
+
+def first_complete_region(regions: list[Elements], start: DataFrame) -> DataFrame:
+    """(type, id, region): for each of ``start`` (type, id) the number of the first region that answers it completely, null without one."""
+    found = [complete(e, start).withColumn("region", F.lit(i)) for i, e in enumerate(regions)]
+    best = reduce(DataFrame.union, found).groupBy("type", "id").agg(F.min("region").alias("region"))
+    return start.select("type", "id").distinct().join(best, ["type", "id"], "left").select("type", "id", "region")
+
+
+def fallback_full(regions: list[Elements], start: DataFrame) -> DataFrame:
+    """(of_type, of_id, region, type, id): the full answer of the first region that has one."""
+    chosen = materialize(first_complete_region(regions, start).where("region IS NOT NULL"))
+    parts = [full_complete(e, chosen.where(F.col("region") == i).select("type", "id")).withColumn("region", F.lit(i)) for i, e in enumerate(regions)]
+    return reduce(DataFrame.union, parts).select("of_type", "of_id", "region", "type", "id")

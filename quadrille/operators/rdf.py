@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.text import LITERAL, escaped, fixed7, percent_encoded
-from quadrille.operators.select import TYPES, all_elements, all_tags
+from quadrille.operators.select import TYPES, all_elements, all_tags, nodes_in, relations_in, tag_condition, ways_in
 from quadrille.sources.elements import Elements
 
 # Names of the vocabularies used.
 TYPE, IDENTIFIER, LAT, LONG, SUBJECT, SEE_ALSO = "rdf:type", "dcterms:identifier", "geo:lat", "geo:long", "dc:subject", "rdfs:seeAlso"
+GEOMETRY, WKT_LITERAL = "locn:geometry", "gsp:wktLiteral"
 ACTIVITY, ENDED, AGENT, COMMENT = "prov:Activity", "prov:endedAtTime", "prov:wasAssociatedWith", "rdfs:comment"
 PREFIXES = {
     "rdf:": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
@@ -21,6 +22,12 @@ PREFIXES = {
     "dcterms:": "http://purl.org/dc/terms/",
     "geo:": "http://www.w3.org/2003/01/geo/wgs84_pos#",
     "prov:": "http://www.w3.org/ns/prov#",
+    "locn:": "http://www.w3.org/ns/locn#",
+    "gsp:": "http://www.opengis.net/ont/geosparql#",
+    "dcat:": "http://www.w3.org/ns/dcat#",
+    "foaf:": "http://xmlns.com/foaf/0.1/",
+    "owl:": "http://www.w3.org/2002/07/owl#",
+    "spatial:": "http://geovocab.org/spatial#",
     "skos:": "http://www.w3.org/2004/02/skos/core#",
     "xsd:": "http://www.w3.org/2001/XMLSchema#",
 }
@@ -46,11 +53,53 @@ def element_triples(e: Elements) -> DataFrame:
     out = _triples(named, F.col("s"), (TYPE, F.concat(F.lit("osm:"), F.initcap("type")), "iri", None), (IDENTIFIER, F.col("id"), "literal", None))
     out = out.union(_triples(e.nodes, subject(F.lit("node"), F.col("id")), (LAT, fixed7(F.col("lat7")), "literal", "xsd:decimal"), (LONG, fixed7(F.col("lon7")), "literal", "xsd:decimal")))
     tagged = all_tags(e).withColumn("s", subject(F.col("type"), F.col("id")))
-    concept = F.concat(F.lit("/tag/"), percent_encoded(F.col("k")), F.lit("="), percent_encoded(F.col("v")), F.lit("#concept"))
-    out = out.union(_triples(tagged, F.col("s"), (F.concat(F.lit("/tag/"), F.col("k")), F.col("v"), "literal", None), (SUBJECT, concept, "iri", None)).distinct())
+    out = out.union(_triples(tagged, F.col("s"), (F.concat(F.lit("/tag/"), F.col("k")), F.col("v"), "literal", None), (SUBJECT, concept(F.col("k"), F.col("v")), "iri", None)).distinct())
     return out.union(_triples(e.relation_members, subject(F.lit("relation"), F.col("rel_id")), (SEE_ALSO, subject(F.col("type"), F.col("ref")), "iri", None)).distinct())
 
 
+def concept(k: Column, v: Column) -> Column:
+    return F.concat(F.lit("/tag/"), percent_encoded(k), F.lit("="), percent_encoded(v), F.lit("#concept"))
+
+
+def way_texts(e: Elements, ways: DataFrame) -> DataFrame:
+    """(id, wkt) of ways (id): their own coordinates with seven decimals. A way whose first and last node are the same is a polygon, however short."""
+    refs = e.way_nodes.join(ways.select(F.col("id").alias("way_id")), "way_id", "left_semi")
+    text = F.concat(fixed7(F.col("lon7")), F.lit(" "), fixed7(F.col("lat7")))
+    placed = refs.join(e.nodes.select(F.col("id").alias("node_id"), text.alias("text")), "node_id", "left")
+    seen = placed.groupBy(F.col("way_id").alias("id")).agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("seq", "text")))).alias("pts"), F.min_by("node_id", "seq").alias("first"), F.max_by("node_id", "seq").alias("last"))
+    points = F.array_join(F.transform("pts", lambda x: x["text"]), ", ")
+    wkt = F.when(F.col("first") == F.col("last"), F.concat(F.lit("POLYGON(("), points, F.lit("))"))).otherwise(F.concat(F.lit("LINESTRING("), points, F.lit(")")))
+    return seen.where(F.size("pts") > 0).select("id", wkt.alias("wkt"))
+
+
+def geometry_triples(e: Elements, chosen: DataFrame | None = None) -> DataFrame:
+    """Geometry of tagged nodes and ways as WKT literals, of all or of ``chosen`` (type, id); relations have none."""
+
+    def tagged(kind: str, elements: DataFrame, tags: DataFrame) -> DataFrame:
+        found = elements.join(tags, "id", "left_semi")
+        return found if chosen is None else found.join(chosen.where(F.col("type") == kind), "id", "left_semi")
+
+    point = F.concat(F.lit("POINT("), fixed7(F.col("lon7")), F.lit(" "), fixed7(F.col("lat7")), F.lit(")"))
+    nodes = tagged("node", e.nodes, e.node_tags).select("id", point.alias("wkt"))
+    ways = way_texts(e, tagged("way", e.ways, e.way_tags))
+    out = [_triples(df, subject(F.lit(kind), F.col("id")), (GEOMETRY, F.col("wkt"), "literal", WKT_LITERAL)) for kind, df in (("node", nodes), ("way", ways))]
+    return out[0].union(out[1])
+
+
+def feature_triples(e: Elements, chosen: DataFrame | None = None) -> DataFrame:
+    """What a document of features says: each tag as a subject, and the geometry; of all elements or of ``chosen`` (type, id)."""
+    tagged = all_tags(e) if chosen is None else all_tags(e).join(chosen, ["type", "id"], "left_semi")
+    subjects = _triples(tagged, subject(F.col("type"), F.col("id")), (SUBJECT, concept(F.col("k"), F.col("v")), "iri", None)).distinct()
+    return subjects.union(geometry_triples(e, chosen))
+
+
+def box_features(e: Elements, bbox, tag: str | None = None, kind: str = "nwr") -> DataFrame:
+    """(type, id) of the elements in a box, those with a tag (``key`` or ``key=value``) where one is given."""
+    parts = {"node": nodes_in(e, bbox), "way": ways_in(e, bbox), "relation": relations_in(e, bbox)}
+    found = reduce(DataFrame.union, [df.select(F.lit(t).alias("type"), "id") for t, df in parts.items() if t[0] in kind])
+    return found if not tag else found.join(all_tags(e).where(tag_condition(tag)), ["type", "id"], "left_semi")
+
+
 def changeset_triples(changesets: DataFrame) -> DataFrame:
     """Changesets (id, created_at, user_id, comment) as activities."""
     s = F.concat(F.lit("/changeset/"), F.col("id").cast("string"))
@@ -58,6 +107,17 @@ def changeset_triples(changesets: DataFrame) -> DataFrame:
     return _triples(changesets, s, (TYPE, F.lit(ACTIVITY), "iri", None), (ENDED, ended, "literal", "xsd:dateTime"), (AGENT, F.concat(F.lit("/user/"), F.col("user_id").cast("string")), "iri", None), (COMMENT, F.col("comment"), "literal", None))
 
 
+def activity_triples(changesets: DataFrame) -> DataFrame:
+    """Changesets (id, created_at, user_id, comment) as activities of an agent, who is a blank node of each changeset."""
+    s = F.concat(F.lit("/changeset/"), F.col("id").cast("string"))
+    agent = F.concat(F.lit("_:agent"), F.col("id").cast("string"))
+    ended = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    own = _triples(changesets, s, (TYPE, F.lit(ACTIVITY), "iri", None), (ENDED, ended, "literal", "xsd:dateTime"), (AGENT, agent, "blank", None), (COMMENT, F.col("comment"), "literal", None))
+    user = F.col("user_id").cast("string")
+    home = F.concat(F.lit("https://www.openstreetmap.org/user/"), percent_encoded(user))
+    return own.union(_triples(changesets, agent, (TYPE, F.lit("prov:Agent"), "iri", None), ("foaf:accountName", user, "literal", None), ("foaf:accountServiceHomepage", F.lit("https://www.openstreetmap.org"), "iri", None), ("foaf:homepage", home, "iri", None)))
+
+
 def merged(*graphs: DataFrame) -> DataFrame:
     """The triples of several graphs as one set."""
     out = graphs[0].select(*COLUMNS)
@@ -79,4 +139,4 @@ def ntriples(triples: DataFrame, base: str) -> DataFrame:
     return triples.select(F.concat_ws(" ", iri(F.col("s")), iri(F.col("p")), F.when(F.col("o_kind") == "iri", iri(F.col("o"))).otherwise(literal), F.lit(".")).alias("value"))
 
 
-__all__ = ["TYPES", "changeset_triples", "element_triples", "merged", "ntriples", "subject"]
+__all__ = ["TYPES", "box_features", "changeset_triples", "concept", "element_triples", "feature_triples", "geometry_triples", "merged", "ntriples", "subject"]

@@ -5,15 +5,18 @@ Every query runs over its whole tables. A function's name is its query's name.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrille.functions import geo, text, tiles
-from quadrille.operators import assemble, closure, rdf, select, spatial_join, tags
-from quadrille.plans import graph
+from quadrille.functions import geo, geof, terms, text, tiles
+from quadrille.operators import assemble, closure, rdf, rdf_text, select, spatial_join, tags, topology
+from quadrille.plans import graph, paths
+from quadrille.sources import store
 from quadrille.sources.elements import Elements, projection_ctes
+from quadrille.tables import materialize, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -275,6 +278,107 @@ def block_lookup(e):
     return closure.block_lookup(closure.block_index(e.ways, BLOCK_ROWS), e.ways.select((F.col("id") * 3).alias("id")), BLOCK_ROWS)
 
 
+# A way without nodes has no place, so it isn't complete.
+PLACELESS = "SELECT id FROM ways WHERE id NOT IN (SELECT way_id FROM way_nodes)"
+COMPLETE = f", bad AS ({BAD_WAYS} UNION {PLACELESS}), fine AS (SELECT id FROM relations WHERE id NOT IN (SELECT rel_id FROM relation_members WHERE type = 'way' AND (ref IN (SELECT id FROM bad) OR ref NOT IN (SELECT id FROM ways)) OR type = 'relation' AND ref NOT IN (SELECT id FROM relations)))"
+
+
+@query(
+    COMPLETE
+    + """ SELECT 'relation' AS of_type, id AS of_id, 'relation' AS type, id FROM fine UNION SELECT 'relation', rel_id, type, ref FROM relation_members WHERE rel_id IN (SELECT id FROM fine)
+    UNION SELECT 'relation', rel_id, 'node', node_id FROM relation_members JOIN way_nodes ON type = 'way' AND ref = way_id WHERE rel_id IN (SELECT id FROM fine)""",
+    "nodes", "way_nodes", "ways", "relations", "relation_members",
+)
+def relation_full_complete(e):
+    """All that a relation needs, or nothing where the extract lacks a part of it."""
+    return closure.full_complete(_extract(e), e.relations.select(F.lit("relation").alias("type"), "id"))
+
+
+@query(
+    COMPLETE + " SELECT 'way' AS of_type, id AS of_id, 'way' AS type, id FROM ways WHERE id NOT IN (SELECT id FROM bad) UNION SELECT 'way', way_id, 'node', node_id FROM way_nodes WHERE way_id NOT IN (SELECT id FROM bad)",
+    "nodes", "way_nodes", "ways", "relations", "relation_members",
+)
+def way_full_complete(e):
+    return closure.full_complete(_extract(e), e.ways.select(F.lit("way").alias("type"), "id"))
+
+
+#: Three regions as conditions on nodes and ways; each lacks something else.
+REGIONS = [(f"NOT ({ABSENT})", "true"), ("(id - 1) % 31 <> 0 OR id > 500", "true"), ("true", "id % 10 <> 0")]
+REGION_TABLES = "".join(
+    f""", bad_ways_{i} AS (SELECT DISTINCT way_id AS id FROM way_nodes WHERE node_id NOT IN (SELECT id FROM nodes WHERE {n}) UNION SELECT id FROM ways WHERE NOT ({w}) UNION {PLACELESS}),
+    fine_{i} AS (SELECT id FROM relations WHERE id NOT IN (SELECT rel_id FROM relation_members WHERE type = 'way' AND ref IN (SELECT id FROM bad_ways_{i})))"""
+    for i, (n, w) in enumerate(REGIONS)
+)
+CHOICE = "CASE " + " ".join(f"WHEN id IN (SELECT id FROM fine_{i}) THEN {i}" for i in range(len(REGIONS))) + " END"
+
+
+def _regions(e: Elements) -> list[Elements]:
+    return [Elements(**{**e.__dict__, "nodes": e.nodes.where(n), "ways": e.ways.where(w)}) for n, w in REGIONS]
+
+
+@query(REGION_TABLES + f" SELECT 'relation' AS type, id, {CHOICE} AS region FROM relations", "nodes", "way_nodes", "ways", "relations", "relation_members")
+def region_complete(e):
+    """The first of three regions that holds each relation completely."""
+    return closure.first_complete_region(_regions(e), e.relations.select(F.lit("relation").alias("type"), "id"))
+
+
+@query(
+    REGION_TABLES
+    + f""", chosen AS (SELECT id AS of_id, {CHOICE} AS region FROM relations), all_of AS (SELECT rel_id AS of_id, type, ref AS id FROM relation_members UNION SELECT rel_id, 'node', node_id FROM relation_members JOIN way_nodes ON type = 'way' AND ref = way_id UNION SELECT id, 'relation', id FROM relations)
+    SELECT region, count(*) AS answers, CAST(sum(n) AS bigint) AS elements FROM (SELECT region, of_id, count(*) AS n FROM chosen JOIN all_of USING (of_id) WHERE region IS NOT NULL GROUP BY region, of_id) GROUP BY region""",
+    "nodes", "way_nodes", "ways", "relations", "relation_members",
+)
+def region_fallback_full(e):
+    """How many relations each region answers, and with how many elements."""
+    full = closure.fallback_full(_regions(e), e.relations.select(F.lit("relation").alias("type"), "id"))
+    return full.groupBy("region", "of_id").agg(F.count("*").alias("n")).groupBy("region").agg(F.count("*").alias("answers"), F.sum("n").alias("elements"))
+
+
+# The element store -------------------------------------------------------------
+
+STORE_ROWS = 700
+PLACED = f""", named AS (SELECT 'node' AS type, id FROM nodes UNION ALL SELECT 'way', id FROM ways UNION ALL SELECT 'relation', id FROM relations),
+    placed AS (SELECT type, id, (row_number() OVER (ORDER BY CASE type WHEN 'node' THEN 0 WHEN 'way' THEN 1 ELSE 2 END, id) - 1) // {STORE_ROWS} AS block FROM named),
+    idx AS (SELECT block, type, min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM placed GROUP BY block, type)"""
+NAMED = ("nodes", "ways", "relations")
+
+
+def _stored(e: Elements, **more) -> store.Store:
+    return store.write(select.all_elements(e), f"{shared_folder(e.nodes.sparkSession)}/store-{uuid.uuid4().hex}", block_rows=STORE_ROWS, **more)
+
+
+@query(PLACED + " SELECT * FROM idx", *NAMED)
+def store_index(e):
+    """First and last id of each block and type of the elements in order; blocks hold equally many rows, so ids are spread unevenly."""
+    return store.block_ranges(store.ordered(select.all_elements(e), STORE_ROWS))
+
+
+@query(PLACED + " SELECT w.type, w.id, idx.block FROM (SELECT type, id * 3 AS id FROM named) w LEFT JOIN idx ON w.type = idx.type AND w.id BETWEEN first_id AND last_id", *NAMED)
+def store_lookup(e):
+    """The block that may hold an id, by a search in the index."""
+    index = store.block_ranges(store.ordered(select.all_elements(e), STORE_ROWS))
+    return store.lookup(index, select.all_elements(e).select("type", (F.col("id") * 3).alias("id")))
+
+
+@query(PLACED + " SELECT p.type, p.id, p.block FROM placed p JOIN named w ON p.type = w.type AND p.id = w.id * 3 WHERE w.id % 7 = 0 AND w.type <> 'node'", *NAMED)
+def store_fetch(e):
+    """Elements read back from a written store by their ids, some of which it lacks."""
+    wanted = select.all_elements(e, "wr").where("id % 7 = 0").select("type", (F.col("id") * 3).alias("id"))
+    return _stored(e).fetch(wanted).select("type", "id", "block")
+
+
+@query(
+    f", bad AS ({BAD_WAYS})" + PLACED + " SELECT 'blocks' AS key, CAST(count(DISTINCT block) AS varchar) AS value FROM placed UNION ALL SELECT type || 's', CAST(count(*) AS varchar) FROM placed GROUP BY type UNION ALL SELECT 'incomplete_ways', CAST(count(*) AS varchar) FROM bad UNION ALL SELECT 'region', 'test'",
+    *NAMED, "way_nodes",
+)
+def store_manifest_written(e):
+    """The manifest of a written store, as it is read again."""
+    bad = closure.incomplete_ways(e, _extract(e).nodes)
+    state = _stored(e, region="test", incomplete={"way": bad}).manifest()
+    kept = ("region", "blocks", "nodes", "ways", "relations", "incomplete_ways")
+    return e.nodes.sparkSession.createDataFrame([(k, state[k]) for k in kept], "key string, value string")
+
+
 # Aggregates ------------------------------------------------------------------
 
 
@@ -473,6 +577,17 @@ def points_in_areas(e):
     return spatial_join.points_in_areas(e.nodes.select("id", "lon", "lat"), _areas(e).select("id", "pts"), CELL)
 
 
+@query(
+    LINES + """ SELECT n.id AS point_id, m.rel_id AS area_id FROM relation_members m JOIN placed s ON m.type = 'way' AND s.id = m.ref JOIN nodes n ON (s.lat > n.lat) <> (s.lat2 > n.lat) AND n.lon < (s.lon2 - s.lon) * (n.lat - s.lat) / (s.lat2 - s.lat) + s.lon
+    WHERE s.id IN (SELECT id FROM kinds WHERE kind = 'Polygon') GROUP BY n.id, m.rel_id HAVING count(*) % 2 = 1""", *GEO, "relation_members"
+)
+def points_in_multipolygons(e):
+    """Nodes inside the closed ways of each relation together, even-odd: of rings that overlap, one is a hole in the other."""
+    rings = e.relation_members.where("type = 'way'").join(_areas(e).select(F.col("id").alias("ref"), "pts"), "ref")
+    areas = rings.groupBy(F.col("rel_id").alias("id")).agg(F.collect_list("pts").alias("rings"))
+    return spatial_join.points_in_areas(e.nodes.select("id", "lon", "lat"), areas, CELL)
+
+
 # Tiles -----------------------------------------------------------------------
 
 SIDE = f"{2**LEVEL}"
@@ -601,7 +716,7 @@ def graph_tag_counts(e):
     return tagged.select(concept.alias("tag")).groupBy("tag").agg(F.count("*").alias("features"))
 
 
-@query(LINES + f" SELECT '/osm/way/' || id || '#id' AS s, kind, n FROM kinds WHERE id IN (SELECT way_id FROM way_nodes JOIN nodes ON node_id = id WHERE {BBOX_SQL})", *GEO)
+@query(LINES + f", hit AS MATERIALIZED (SELECT DISTINCT way_id AS id FROM way_nodes JOIN nodes ON node_id = nodes.id WHERE {BBOX_SQL}) SELECT '/osm/way/' || id || '#id' AS s, kind, n FROM kinds JOIN hit USING (id)", *GEO)
 def graph_features_with_geometry(e):
     """All ways in a box with their geometry's kind and number of points."""
     lines = assemble.way_lines(e, select.ways_in(e, BBOX))
@@ -705,12 +820,226 @@ def graph_ask(e):
     return graph.match(_terms(e), "?s", "/tag/building", "yes").agg((F.count("*") > 0).alias("answer"))
 
 
-@query(TRIPLES + " SELECT s, p, o FROM triples WHERE s IN (SELECT s FROM triples WHERE p = '/tag/type' AND o = 'boundary')", *ALL)
+@query(TRIPLES + ", subjects AS MATERIALIZED (SELECT DISTINCT '/osm/relation/' || id || '#id' AS s FROM relation_tags WHERE k = 'type' AND v = 'boundary') SELECT s, p, o FROM triples JOIN subjects USING (s)", *ALL)
 def graph_describe(e):
-    t = _terms(e)
+    """The triples are written once, so that the pattern and each round of the description read only what they need."""
+    t = materialize(_terms(e))
     return graph.describe(t, graph.match(t, "?s", "/tag/type", "boundary"))
 
 
+AGENTS = """, activities AS (SELECT id, '/changeset/' || id AS s, '_:agent' || id AS agent, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS ended, user_id, comment FROM changesets),
+    activity_triples AS (SELECT s, 'rdf:type' AS p, 'prov:Activity' AS o FROM activities UNION ALL SELECT s, 'prov:endedAtTime', ended FROM activities UNION ALL SELECT s, 'rdfs:comment', comment FROM activities UNION ALL SELECT s, 'prov:wasAssociatedWith', agent FROM activities
+    UNION ALL SELECT agent, 'rdf:type', 'prov:Agent' FROM activities UNION ALL SELECT agent, 'foaf:accountName', CAST(user_id AS varchar) FROM activities UNION ALL SELECT agent, 'foaf:homepage', 'https://www.openstreetmap.org/user/' || user_id FROM activities
+    UNION ALL SELECT agent, 'foaf:accountServiceHomepage', 'https://www.openstreetmap.org' FROM activities)"""
+
+
+@query(AGENTS + " SELECT s, p, o FROM activity_triples WHERE o IS NOT NULL AND (s IN (SELECT s FROM activities WHERE id % 50 = 0) OR s IN (SELECT agent FROM activities WHERE id % 50 = 0))", "changesets")
+def graph_describe_blank(e):
+    """Changesets with the blank nodes that they lead to."""
+    t = materialize(rdf.activity_triples(e.changesets).select("s", "p", "o"))
+    wanted = e.changesets.where("id % 50 = 0").select(F.concat(F.lit("/changeset/"), F.col("id").cast("string")).alias("s"))
+    return graph.describe(t, wanted)
+
+
+# The shipped examples once more, as patterns over the triples of a box's document ----
+
+DOCUMENT = (
+    TAGS
+    + f""", inside AS MATERIALIZED (SELECT id FROM nodes WHERE {BBOX_SQL}), chosen AS MATERIALIZED (
+        SELECT 'node' AS type, id FROM inside UNION SELECT 'way', way_id FROM way_nodes WHERE node_id IN (SELECT id FROM inside)
+        UNION SELECT 'relation', rel_id FROM relation_members WHERE type = 'way' AND ref IN (SELECT way_id FROM way_nodes WHERE node_id IN (SELECT id FROM inside)) OR type = 'node' AND ref IN (SELECT id FROM inside)),
+    subjects AS MATERIALIZED (SELECT DISTINCT '/osm/' || type || '/' || id || '#id' AS s, '/tag/' || url_encode(k) || '=' || url_encode(v) || '#concept' AS tag FROM tags JOIN chosen USING (type, id)),
+    placed AS (SELECT way_id AS id, seq, lon, lat, format('{{}}.{{:07d}} {{}}.{{:07d}}', lon7 // 10000000, lon7 % 10000000, lat7 // 10000000, lat7 % 10000000) AS t, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM way_nodes JOIN nodes ON node_id = nodes.id WINDOW w AS (PARTITION BY way_id ORDER BY seq)),
+    shapes AS MATERIALIZED (SELECT id, count(*) AS n, string_agg(t, ', ' ORDER BY seq) AS pts, min_by(t, seq) = max_by(t, seq) AS closed, round({AREA}) AS m2, round({LENGTH}) AS metres FROM placed GROUP BY id),
+    geometry AS MATERIALIZED (
+        SELECT '/osm/way/' || id || '#id' AS s, CASE WHEN closed THEN 'POLYGON((' || pts || '))' ELSE 'LINESTRING(' || pts || ')' END AS wkt, CASE WHEN NOT closed THEN 1 WHEN n >= 4 THEN 2 END AS dim, CASE WHEN closed AND n >= 4 THEN coalesce(m2, 0) END AS m2, metres, id, 'way' AS type
+        FROM shapes WHERE id IN (SELECT id FROM chosen WHERE type = 'way')
+        UNION ALL SELECT '/osm/node/' || id || '#id', format('POINT({{}}.{{:07d}} {{}}.{{:07d}})', lon7 // 10000000, lon7 % 10000000, lat7 // 10000000, lat7 % 10000000), 0, 0, 0, id, 'node' FROM nodes WHERE id IN (SELECT id FROM inside))"""
+)
+BOXED = ("nodes", "way_nodes", "relation_members", *TAGGED)
+
+
+def _document(e, tag=None):
+    return rdf.feature_triples(e, materialize(rdf.box_features(e, BBOX, tag))).select("s", "p", "o")
+
+
+@query(DOCUMENT + " SELECT tag, count(*) AS features FROM subjects GROUP BY tag", *BOXED)
+def example_tag_counts(e):
+    return graph.match(_document(e), "?s", rdf.SUBJECT, "?tag").groupBy("tag").agg(F.count("s").alias("features"))
+
+
+@query(DOCUMENT + " SELECT s, wkt FROM geometry ORDER BY s LIMIT 20", *BOXED)
+def example_features(e):
+    """The first twenty subjects with their geometry."""
+    return graph.match(_document(e), "?s", rdf.GEOMETRY, "?wkt").orderBy("s").limit(20)
+
+
+@query(DOCUMENT + " SELECT s, m2 FROM geometry WHERE starts_with(wkt, 'POLYGON') AND m2 IS NOT NULL AND id IN (SELECT id FROM way_tags WHERE k = 'building') ORDER BY m2 DESC, s LIMIT 10", *BOXED)
+def example_building_areas(e):
+    found = graph.match(_document(e, "building"), "?s", rdf.GEOMETRY, "?wkt").where(F.startswith("wkt", F.lit("POLYGON")))
+    sized = found.select("s", F.round(geof.metric_area("wkt")).alias("m2")).where("m2 IS NOT NULL")
+    return sized.orderBy(F.desc("m2"), "s").limit(10)
+
+
+@query(DOCUMENT + " SELECT dim, count(*) AS features FROM geometry GROUP BY dim", *BOXED)
+def example_dimensions(e):
+    """A ring too short for a polygon has no dimension."""
+    found = graph.match(_document(e), "?s", rdf.GEOMETRY, "?wkt").select("s", geof.dimension("wkt").alias("dim"))
+    return found.groupBy("dim").agg(F.count("s").alias("features"))
+
+
+@query(DOCUMENT + " SELECT s, metres FROM geometry WHERE dim = 1 AND id IN (SELECT id FROM way_tags WHERE k = 'highway') ORDER BY metres DESC, s LIMIT 10", *BOXED)
+def example_street_lengths(e):
+    found = graph.match(_document(e, "highway"), "?s", rdf.GEOMETRY, "?wkt").where(geof.dimension("wkt") == 1)
+    return found.select("s", F.round(geof.metric_length("wkt")).alias("metres")).orderBy(F.desc("metres"), "s").limit(10)
+
+
+@query(DOCUMENT + " SELECT DISTINCT s, 'locn:geometry' AS p, wkt AS o FROM geometry UNION SELECT s, 'dc:subject', tag FROM subjects JOIN geometry USING (s)", *BOXED)
+def example_subgraph(e):
+    t = materialize(_document(e))
+    found = graph.every(t, ("?s", rdf.GEOMETRY, "?wkt"), ("?s", rdf.SUBJECT, "?tag"))
+    return graph.construct(found, ("?s", rdf.GEOMETRY, "?wkt"), ("?s", rdf.SUBJECT, "?tag"))
+
+
+# Paths ------------------------------------------------------------------------
+
+EDGES = TRIPLES + ", links AS MATERIALIZED (SELECT s, o FROM triples WHERE p = 'rdfs:seeAlso' AND s IN (SELECT '/osm/relation/' || id || '#id' FROM relations WHERE id >= 100000000)), typed AS MATERIALIZED (SELECT s, o FROM triples WHERE p = 'rdf:type' AND s IN (SELECT s FROM links UNION SELECT o FROM links)), named_ AS MATERIALIZED (SELECT s, o FROM triples WHERE p = '/tag/name' AND s IN (SELECT s FROM links UNION SELECT o FROM links)), g AS MATERIALIZED (SELECT s, 'rdfs:seeAlso' AS p, o FROM links UNION ALL SELECT s, 'rdf:type', o FROM typed UNION ALL SELECT s, '/tag/name', o FROM named_)"
+
+
+def _links(e):
+    """Links of the large relations to their members, with the types and names of both."""
+    t = materialize(_terms(e))
+    large = e.relations.where("id >= 100000000").select(rdf.subject(F.lit("relation"), F.col("id")).alias("s"))
+    links = materialize(t.where("p = 'rdfs:seeAlso'").join(large, "s", "left_semi"))
+    nodes = links.select("s").union(links.select("o")).distinct()
+    return materialize(links.union(t.where("p IN ('rdf:type', '/tag/name')").join(nodes, "s", "left_semi")))
+
+
+SEE, NAME, KIND = paths.P("rdfs:seeAlso"), paths.P("/tag/name"), paths.P("rdf:type")
+
+
+@query(EDGES + " SELECT links.s, named_.o FROM links JOIN named_ ON links.o = named_.s", *ALL)
+def graph_path_sequence(e):
+    return paths.pairs(_links(e), SEE / NAME)
+
+
+@query(EDGES + " SELECT s, o FROM named_ UNION ALL SELECT s, o FROM typed", *ALL)
+def graph_path_either(e):
+    return paths.pairs(_links(e), NAME | KIND)
+
+
+@query(EDGES + " SELECT a.o AS s, b.o FROM links a JOIN named_ b ON a.s = b.s", *ALL)
+def graph_path_inverse(e):
+    """From a member to the names of what it belongs to."""
+    return paths.pairs(_links(e), ~SEE / NAME)
+
+
+@query(EDGES + " SELECT s, o FROM g WHERE p <> 'rdfs:seeAlso' AND p <> 'rdf:type' UNION ALL SELECT o, s FROM g WHERE p <> '/tag/name' AND p <> 'rdf:type'", *ALL)
+def graph_path_not(e):
+    return paths.pairs(_links(e), paths.Not(SEE, KIND, ~NAME, ~KIND))
+
+
+@query(EDGES + ", every AS (SELECT s AS n FROM g UNION SELECT o FROM g) SELECT n AS s, n AS o FROM every UNION SELECT s, o FROM links", *ALL)
+def graph_path_optional(e):
+    return paths.pairs(_links(e), SEE.opt())
+
+
+@query(EDGES + ", every AS (SELECT s AS n FROM g UNION SELECT o FROM g) SELECT n AS s, n AS o FROM every UNION SELECT s, o FROM links UNION SELECT a.s, b.o FROM links a JOIN links b ON a.o = b.s UNION SELECT a.s, c.o FROM links a JOIN links b ON a.o = b.s JOIN links c ON b.o = c.s", *ALL)
+def graph_path_star(e):
+    return paths.pairs(_links(e), SEE.star())
+
+
+@query(
+    EDGES
+    + """, up AS (SELECT o AS n, s AS m FROM links UNION SELECT s, o FROM links) SELECT * FROM (
+    WITH RECURSIVE walk AS (SELECT s AS a, s AS z FROM named_ WHERE o = 'BRAZIL' UNION SELECT walk.a, up.m FROM walk JOIN up ON walk.z = up.n)
+    SELECT walk.a AS s, named_.o FROM walk JOIN named_ ON walk.z = named_.s)""",
+    *ALL,
+)
+def graph_path_cycles(e):
+    """All names that can be reached from one nation along links in both directions, any number of times."""
+    t = _links(e)
+    start = t.where("p = '/tag/name' AND o = 'BRAZIL'").select(F.col("s").alias("n"))
+    return paths.pairs(t, (SEE | ~SEE).star() / NAME, start)
+
+
+# Named graphs -----------------------------------------------------------------
+
+QUADS = TRIPLES + ", quads AS MATERIALIZED (SELECT '/graph/' || split_part(s, '/', 3) AS g, s, p, o FROM triples UNION ALL SELECT '/graph/names', s, p, o FROM triples WHERE p = '/tag/name')"
+
+
+def _quads(e):
+    t = materialize(_terms(e))
+    of_type = t.withColumn("g", F.concat(F.lit("/graph/"), F.split_part("s", F.lit("/"), F.lit(3))))
+    return of_type.union(t.where("p = '/tag/name'").withColumn("g", F.lit("/graph/names")))
+
+
+@query(QUADS + " SELECT p, count(*) AS n FROM (SELECT DISTINCT s, p, o FROM quads WHERE g IN ('/graph/way', '/graph/names')) GROUP BY p", *ALL)
+def graph_from(e):
+    """Several graphs merge into the default one; what two of them say counts once."""
+    return graph.Dataset(_quads(e), default=["/graph/way", "/graph/names"], base="/graph/").default.groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query(QUADS + " SELECT a.g, a.s, a.o AS name, b.o AS kind FROM quads a JOIN quads b ON a.g = b.g AND a.s = b.s WHERE a.p = '/tag/name' AND b.p = 'rdf:type' AND a.g IN ('/graph/node', '/graph/relation', '/graph/names')", *ALL)
+def graph_variable(e):
+    """Patterns within each named graph: the one that holds names only has no types."""
+    d = graph.Dataset(_quads(e), named=["/graph/node", "/graph/relation", "/graph/names"], base="/graph/")
+    return d.graph("?g", ("?s", "/tag/name", "?name"), ("?s", "rdf:type", "?kind"))
+
+
+@query(QUADS + " SELECT q.s, q.o AS name, d.o AS id FROM quads q JOIN quads d ON q.s = d.s AND d.g = '/graph/node' AND d.p = 'dcterms:identifier' WHERE q.g = '/graph/names' AND q.p = '/tag/name'", *ALL)
+def graph_named(e):
+    """One named graph beside the default one."""
+    d = graph.Dataset(_quads(e), default=["/graph/node"], named=["/graph/names"], base="/graph/")
+    return graph.match(d.default, "?s", "dcterms:identifier", "?id").join(d.graph("/graph/names", ("?s", "/tag/name", "?name")), "s").select("s", "name", "id")
+
+
+@query(
+    TRIPLES
+    + """, en AS (SELECT s, o AS label FROM triples WHERE p = '/tag/name:en'), de AS (SELECT s, o AS label FROM triples WHERE p = '/tag/name:de'),
+    a AS (SELECT n.s, en.label FROM triples n LEFT JOIN en ON n.s = en.s WHERE n.p = '/tag/name' AND n.s LIKE '/osm/node/%')
+    SELECT a.s, coalesce(a.label, de.label) AS label FROM a LEFT JOIN de ON a.s = de.s AND (a.label IS NULL OR a.label = de.label)""",
+    *ALL,
+)
+def graph_optional_unbound(e):
+    """A label that the first OPTIONAL leaves unbound is bound by the second one."""
+    t = materialize(_terms(e).where("p IN ('/tag/name', '/tag/name:en', '/tag/name:de') AND s LIKE '/osm/node/%'"))
+    a = graph.optional(graph.match(t, "?s", "/tag/name", "?name"), graph.match(t, "?s", "/tag/name:en", "?label"))
+    return graph.optional(a, graph.match(t, "?s", "/tag/name:de", "?label"), unbound=["label"]).select("s", "label")
+
+
+@query(
+    """, sized AS (SELECT DISTINCT v FROM node_tags WHERE k = 'size'), mixed AS (SELECT 3 AS rank, v::double AS number, v AS value FROM sized UNION ALL SELECT 3, NULL, v FROM (SELECT DISTINCT v FROM node_tags WHERE k = 'brand')
+        UNION ALL SELECT 2, NULL, '/osm/relation/' || id || '#id' FROM relations WHERE id >= 100000000 UNION ALL SELECT 1, NULL, '_:agent' || id FROM changesets WHERE id <= 8)
+    SELECT CASE rank WHEN 1 THEN 'blank' WHEN 2 THEN 'iri' ELSE 'literal' END AS kind, value FROM mixed ORDER BY rank, number NULLS LAST, value LIMIT 60""",
+    "node_tags", "relations", "changesets",
+)
+def graph_term_order(e):
+    """The first of blank nodes, addresses, numbers by value, and texts."""
+    sized = e.node_tags.where("k = 'size'").select("v").distinct().select(terms.literal(F.col("v"), "xsd:integer").alias("t"))
+    brands = e.node_tags.where("k = 'brand'").select("v").distinct().select(terms.literal(F.col("v")).alias("t"))
+    large = e.relations.where("id >= 100000000").select(terms.iri(rdf.subject(F.lit("relation"), F.col("id"))).alias("t"))
+    agents = e.changesets.where("id <= 8").select(terms.blank(F.concat(F.lit("_:agent"), F.col("id").cast("string"))).alias("t"))
+    mixed = brands.union(sized).union(large).union(agents)
+    return mixed.orderBy(*terms.order(F.col("t"))).limit(60).select("t.kind", "t.value")
+
+
+@query(TRIPLES + " SELECT s, count(DISTINCT p) AS predicates, count(*) AS objects FROM (SELECT DISTINCT s, p, o FROM triples WHERE s NOT LIKE '/osm/way/%') GROUP BY s", *ALL)
+def turtle_blocks(e):
+    """Blocks of Turtle, counted again: a line for each predicate, objects in a row."""
+    t = rdf.element_triples(e).where("s NOT LIKE '/osm/way/%'")
+    lines = F.regexp_count("value", F.lit(r" ;\n")) + 1
+    return rdf_text.turtle(t, "https://example.org").select("s", lines.cast("long").alias("predicates"), (F.regexp_count("value", F.lit(r", [\"<a-z]")) + lines).cast("long").alias("objects"))
+
+
+@query(DOCUMENT + " SELECT s, CASE dim WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' WHEN 2 THEN 'Polygon' END AS kind, count(tag) > 0 AS tagged FROM (SELECT s FROM subjects UNION SELECT s FROM geometry) LEFT JOIN geometry USING (s) LEFT JOIN subjects USING (s) GROUP BY s, dim", *BOXED)
+def triples_geojson(e):
+    """The box's document as GeoJSON features, read again."""
+    t = rdf.feature_triples(e, materialize(rdf.box_features(e, BBOX)))
+    read = F.from_json("value", "id string, geometry struct<type:string>, properties map<string,string>")
+    return rdf_text.geojson_of_triples(t).select(read.alias("f")).select("f.id", "f.geometry.type", F.map_keys("f.properties").alias("k")).select(F.col("id").alias("s"), F.col("type").alias("kind"), F.array_contains("k", rdf.SUBJECT).alias("tagged"))
+
+
 # Text forms of geometry ------------------------------------------------------
 
 

@@ -84,19 +84,102 @@ HEADER = field(4, b"OsmSchema-V0.6") + field(4, b"DenseNodes")
 
 
 def test_block_file(spark, tmp_path):
-    data = blob("OSMHeader", HEADER, True) + blob("OSMData", block(), True) + blob("OSMData", block(1000, 50), False)
+    data = blob("OSMHeader", HEADER, True) + blob("OSMData", block(), True) + blob("Other", b"skipped", False) + blob("OSMData", block(1000, 50), False)
     (tmp_path / "f.pbf").write_bytes(data)
     rows = pbf.read(spark, str(tmp_path)).collect()
     assert len(rows) == 12
     nodes = {r.id: r for r in rows if r.type == "node" and r.lat7 in (494574744, -5, 7, 100)}
     assert (nodes[10].lat7, nodes[12].lat7, nodes[77].lon7) == (494574744, -5, -100)
     assert [(t.k, t.v) for t in nodes[10].tags] == [("name", "café")] and nodes[12].tags == [] and nodes[9].version == 6 and nodes[9].ts is None
+    assert nodes[10].refs is None and nodes[10].members is None
     way = next(r for r in rows if r.type == "way")
-    assert way.refs == [10, 12, 9, 10] and way.version == 3
+    assert way.refs == [10, 12, 9, 10] and way.version == 3 and way.lats7 == [] and way.members is None
     relation = next(r for r in rows if r.type == "relation")
     assert [tuple(m) for m in relation.members] == [("way", 500, "outer"), ("node", 10, "")]
 
 
+def located(lats, lons, id=1):
+    way = field(1, id) + field(8, deltas(range(1, len(lats) + 1))) + field(9, deltas(lats)) + field(10, deltas(lons))
+    return STRINGS + field(2, field(3, way))
+
+
+def test_locations_on_ways(spark, tmp_path):
+    ways = [located([494574744, 1, -5], [1, 2, 3], 1), located([1, 2147483647], [1, 2147483647], 2), located([1, 2, 3], [1, 2], 3), located([], [], 4)]
+    (tmp_path / "f.pbf").write_bytes(blob("OSMHeader", STRICT, True) + b"".join(blob("OSMData", w, True) for w in ways))
+    got = {r.id: r for r in pbf.read(spark, str(tmp_path), strict=True).withColumn("fine", pbf.has_locations()).collect()}
+    assert got[1].lats7 == [494574744, 1, -5] and got[1].lons7 == [1, 2, 3] and got[1].refs == [1, 2, 3]
+    assert [got[i].fine for i in (1, 2, 3, 4)] == [True, False, False, False]
+
+
+STRICT = field(4, b"OsmSchema-V0.6") + field(4, b"DenseNodes") + field(5, b"Sort.Type_then_ID") + field(5, b"LocationsOnWays") + field(32, 1700000000) + field(33, 4321) + field(34, b"https://example.org/diffs")
+
+
+def test_headers(spark, tmp_path):
+    (tmp_path / "strict.pbf").write_bytes(blob("OSMHeader", STRICT, True) + blob("OSMData", block(), True))
+    got = pbf.headers(spark, str(tmp_path)).collect()
+    assert [(r.required, r.optional, r.replication_timestamp.timestamp(), r.replication_sequence, r.replication_url) for r in got] == [(["OsmSchema-V0.6", "DenseNodes"], ["Sort.Type_then_ID", "LocationsOnWays"], 1700000000, 4321, "https://example.org/diffs")]
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    (plain / "f.pbf").write_bytes(blob("OSMHeader", HEADER, False) + blob("OSMData", block(), True))
+    assert pbf.read(spark, str(plain)).count() == 6
+    assert pbf.headers(spark, str(plain)).select("replication_sequence", "replication_timestamp").first() == (None, None)
+    with pytest.raises(Exception, match="the file lacks"):
+        pbf.read(spark, str(plain), strict=True).count()
+
+
+def test_a_file_is_read_by_many_tasks(spark, tmp_path):
+    """Splits cut through blobs; every element is read once, in order, by several tasks."""
+    blocks = [STRINGS + field(2, field(2, field(1, deltas(range(i * 100, i * 100 + 100))) + field(8, deltas([i] * 100)) + field(9, deltas([7] * 100)))) for i in range(60)]
+    data = blob("OSMHeader", STRICT, True) + b"".join(blob("OSMData", b, i % 3 == 0) for i, b in enumerate(blocks))
+    (tmp_path / "f.pbf").write_bytes(data)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (len(data) // 7, 997, 100):
+            for k in before:
+                spark.conf.set(k, size if "max" in k else 1)
+            df = pbf.read(spark, str(tmp_path / "f.pbf"), strict=True)
+            assert df.rdd.getNumPartitions() >= 7
+            assert sorted((r.id, r.lat7) for r in df.collect()) == [(i, i // 100) for i in range(6000)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_the_separator_inside_of_a_blob(spark, tmp_path):
+    """A raw blob whose strings hold the bytes at which files are cut is put together again."""
+    strings = field(1, b"".join(field(1, s) for s in (b"", b"k", b"x" + pbf.SEPARATOR.encode() + pbf.SEPARATOR.encode() + b"y")))
+    node = field(1, zig(5)) + field(8, zig(1)) + field(9, zig(2)) + field(2, varint(1)) + field(3, varint(2))
+    data = blob("OSMHeader", HEADER, False) + blob("OSMData", strings + field(2, field(1, node)), False) + blob("OSMData", block(), True)
+    (tmp_path / "f.pbf").write_bytes(data)
+    rows = pbf.read(spark, str(tmp_path)).collect()
+    assert len(rows) == 7 and [t.v for r in rows if r.id == 5 for t in r.tags] == [f"x{pbf.SEPARATOR}{pbf.SEPARATOR}y"]
+
+
+@pytest.mark.parametrize("data", ["cut", "headless", "empty block", "long", "codec"])
+def test_broken_files_are_refused(spark, tmp_path, data):
+    whole = blob("OSMHeader", HEADER, True) + blob("OSMData", block(), True)
+    text = {
+        "cut": whole[:-3],
+        "headless": blob("OSMData", block(), True),
+        "empty block": whole + blob("OSMData", b"", True)[:-9],
+        "long": blob("OSMHeader", HEADER, True) + struct.pack(">I", 12) + field(1, b"OSMData") + field(3, 40 << 20),
+        "codec": blob("OSMHeader", HEADER, True) + struct.pack(">I", 11) + field(1, b"OSMData") + field(3, 4) + field(7, b"zz"),
+    }[data]
+    (tmp_path / "f.pbf").write_bytes(text)
+    with pytest.raises(Exception, match="ValueError|BrokenOff|KeyError"):
+        pbf.read(spark, str(tmp_path)).count()
+
+
+def test_dense_tags():
+    words = lambda *x: np.array(x, np.int64)
+    sizes, keys, values = pbf.dense_tags(words(1, 2, 3, 0, 0, 5, 6, 0), 3)
+    assert (sizes.tolist(), keys.tolist(), values.tolist()) == ([2, 1, 0], [1, 3, 5], [2, 0, 6])
+    assert pbf.dense_tags(words(), 2)[0].tolist() == [0, 0]
+    for broken in (words(1), words(1, 2, 0, 3), words(0, 0, 1, 2)):
+        with pytest.raises(ValueError):
+            pbf.dense_tags(broken, 2)
+
+
 def test_numbers():
     values = [0, 1, -1, 2**40, -(2**62), 127, 128]
     assert pbf.varints(b"".join(map(varint, values))).tolist() == values
