@@ -12,8 +12,8 @@ puts a shard's edges into level order, writes its shape as a LOUDS bit vector
 (a one for each child, then a zero) beside an array of labels, and rolls up
 from the last level to the first by ``add.at``. What the subtrees' tops hold is
 summed for the heavy edges, which are rolled up in one trie of their own: an
-edge is heavy with more than a millionth of all turns, or 4,096, so there are at
-most a million heavy nodes, however large the table is.
+edge is heavy with more members than 256 or a millionth of all turns, so there are
+at most a million heavy nodes, however large the table is.
 
 Defined cases: null role or text is empty; turns are ordered by their number,
 null first, and those that tie by their digest; rows without a conv_id belong to
@@ -37,7 +37,7 @@ from quadrille.llm.scan import running
 #: Conversations that share the beginning of their first one, and how many turns of it at most.
 FAMILY, MOST_SHARED = 20, 3
 #: Members from which an edge may be heavy, and how many heavy nodes there may be.
-LEAST_HEAVY, MOST_NODES = 4096, 1_000_000
+LEAST_HEAVY, MOST_NODES = 256, 1_000_000
 #: Edges of a shard, about.
 SHARD_EDGES = 50_000
 #: Ids of a piece of a node's ends.
