@@ -160,12 +160,24 @@ def parse_wkt(text: Column | str) -> Column:
     return F.struct(name.alias("kind"), F.when(kind.isin("POINT", "LINESTRING"), line(inside)).otherwise(none).alias("pts"), F.when(kind == "POLYGON", rings).otherwise(F.array().cast("array<array<struct<lon:double,lat:double>>>")).alias("rings"))
 
 
-def feature(id: Column, properties: list[tuple[str, Column]], tags: Column, geometry: Column) -> Column:
-    """A GeoJSON feature: given properties, then one for each tag, in order."""
-    field = lambda k, v: F.concat(F.regexp_extract(F.to_json(F.struct(k.alias("x"))), r'^\{"x":(.*)\}$', 1), F.lit(":"), F.regexp_extract(F.to_json(F.struct(v.alias("x"))), r'^\{"x":(.*)\}$', 1))
+#: What JSON-LD readers take the names of GeoJSON from.
+CONTEXT = "https://geojson.org/geojson-ld/geojson-context.jsonld"
+
+
+def feature(id: Column, properties: list[tuple[str, Column]], tags: Column, geometry: Column, context: str | None = None, value=lambda k, v: v) -> Column:
+    """A GeoJSON feature: given properties, then one for each tag, in order. ``value`` makes a tag's property of key and value; without ``id`` none is written."""
+    text = lambda x: F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r'^\{"x":([\s\S]*)\}$', 1)
+    field = lambda k, v: F.concat(text(k), F.lit(":"), text(v))
     given = [field(F.lit(k), v) for k, v in properties]
-    rest = F.transform(tags, lambda t: field(F.concat(F.lit("/tag/"), t["k"]), t["v"]))
-    return F.concat(F.lit('{"type":"Feature","id":'), F.regexp_extract(F.to_json(F.struct(id.alias("x"))), r'^\{"x":(.*)\}$', 1), F.lit(',"properties":{'), F.array_join(F.concat(F.array(*given), rest), ","), F.lit('},"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit("}"))
+    rest = F.transform(tags, lambda t: field(F.concat(F.lit("/tag/"), t["k"]), value(t["k"], t["v"])))
+    head = '{"type":"Feature"' + (f',"@context":"{context}"' if context else "")
+    own = F.lit("") if id is None else F.concat(F.lit(',"id":'), text(id))
+    return F.concat(F.lit(head), own, F.lit(',"properties":{'), F.array_join(F.concat(F.array(*given), rest), ","), F.lit('},"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit("}"))
+
+
+def multi_line_geojson(lines: Column) -> Column:
+    """A GeoJSON MultiLineString; null without lines."""
+    return F.when(F.size(lines) > 0, F.to_json(F.struct(F.lit("MultiLineString").alias("type"), F.transform(lines, _pairs).alias("coordinates"))))
 
 
 def _pairs(pts: Column) -> Column:

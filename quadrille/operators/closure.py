@@ -134,16 +134,20 @@ def complete(e: Elements, start: DataFrame) -> DataFrame:
     return nodes.select(F.lit("node").alias("type"), "id").union(whole.join(of("way"), "id", "left_semi").select(F.lit("way"), "id")).union(fine.select(F.lit("relation"), "id"))
 
 
+def _answers(e: Elements, fine: DataFrame) -> DataFrame:
+    """(of_type, of_id, type, id): all that each of ``fine`` (type, id) needs, itself included, once each."""
+    wanted = _wanted(e, fine)
+    inner = wanted.where("of_type = 'relation' AND type = 'way'").join(e.way_nodes, F.col("id") == F.col("way_id"))
+    own = fine.select(F.col("type").alias("of_type"), F.col("id").alias("of_id"), "type", "id")
+    return own.union(wanted).union(inner.select("of_type", "of_id", F.lit("node"), "node_id")).distinct()
+
+
 def full_complete(e: Elements, start: DataFrame) -> DataFrame:
     """(of_type, of_id, type, id): each answerable element of ``start`` (type, id) with all it needs, itself included, once each.
 
     An element that isn't found completely gives no row at all.
     """
-    fine = complete(e, start)
-    wanted = _wanted(e, fine)
-    inner = wanted.where("of_type = 'relation' AND type = 'way'").join(e.way_nodes, F.col("id") == F.col("way_id"))
-    own = fine.select(F.col("type").alias("of_type"), F.col("id").alias("of_id"), "type", "id")
-    return own.union(wanted).union(inner.select("of_type", "of_id", F.lit("node"), "node_id")).distinct()
+    return _answers(e, materialize(complete(e, start)))
 
 
 def first_complete_region(regions: list[Elements], start: DataFrame) -> DataFrame:
@@ -156,5 +160,5 @@ def first_complete_region(regions: list[Elements], start: DataFrame) -> DataFram
 def fallback_full(regions: list[Elements], start: DataFrame) -> DataFrame:
     """(of_type, of_id, region, type, id): the full answer of the first region that has one."""
     chosen = materialize(first_complete_region(regions, start).where("region IS NOT NULL"))
-    parts = [full_complete(e, chosen.where(F.col("region") == i).select("type", "id")).withColumn("region", F.lit(i)) for i, e in enumerate(regions)]
+    parts = [_answers(e, chosen.where(F.col("region") == i).select("type", "id")).withColumn("region", F.lit(i)) for i, e in enumerate(regions)]
     return reduce(DataFrame.union, parts).select("of_type", "of_id", "region", "type", "id")

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.text import LITERAL, escaped, fixed7, percent_encoded
+from quadrille.functions import geof, tiles
+from quadrille.functions.text import LITERAL, escaped, fixed7, percent_encoded, wikidata_entity, wikipedia_triples
 from quadrille.operators.select import TYPES, all_elements, all_tags, nodes_in, relations_in, tag_condition, ways_in
 from quadrille.sources.elements import Elements
 
@@ -118,6 +119,58 @@ def activity_triples(changesets: DataFrame) -> DataFrame:
     return own.union(_triples(changesets, agent, (TYPE, F.lit("prov:Agent"), "iri", None), ("foaf:accountName", user, "literal", None), ("foaf:accountServiceHomepage", F.lit("https://www.openstreetmap.org"), "iri", None), ("foaf:homepage", home, "iri", None)))
 
 
+def version_triples(elements: DataFrame) -> DataFrame:
+    """Versions of elements (type, id, version, changeset) as sources of their own; those without a version have none."""
+    at = F.concat(F.lit("https://api.openstreetmap.org/api/0.6/"), F.col("type"), F.lit("/"), F.col("id").cast("string"), F.lit("/"), F.col("version").cast("string"))
+    return _triples(elements.where("version IS NOT NULL"), at, ("prov:value", F.col("version"), "literal", None), ("prov:wasGeneratedBy", F.concat(F.lit("/changeset/"), F.col("changeset").cast("string")), "iri", None))
+
+
+def place_triples(places: DataFrame) -> DataFrame:
+    """Places (type, id, name, class, kind, lon, lat) of a search, each with the element that it is."""
+    s = subject(F.col("type"), F.col("id"))
+    return _triples(places, s, (TYPE, F.lit("spatial:Feature"), "iri", None), ("rdfs:label", F.col("name"), "literal", None), (SUBJECT, concept(F.col("class"), F.col("kind")), "iri", None), (LAT, F.col("lat"), "literal", "xsd:decimal"), (LONG, F.col("lon"), "literal", "xsd:decimal"))
+
+
+def link_triples(tags: DataFrame) -> DataFrame:
+    """Articles, data items and the English label of tags (type, id, k, v)."""
+    s = subject(F.col("type"), F.col("id"))
+    article = wikipedia_triples(F.col("v"))
+    out = _triples(tags.where("k = 'wikipedia'"), s, ("foaf:page", article["page"], "iri", None), ("owl:sameAs", article["same_as"], "iri", None))
+    out = out.union(_triples(tags.where("k = 'wikidata'"), s, ("owl:sameAs", wikidata_entity(F.col("v")), "iri", None)))
+    return out.union(_triples(tags.where("k = 'name:en'"), s, ("rdfs:label", F.col("v"), "literal", None)))
+
+
+def document_triples(documents: DataFrame, agent: str) -> DataFrame:
+    """Where documents (url, source, generated, west, south, east, north) come from; without a box they have no place.
+
+    The time is a column, so that the triples are the same each time. The place is a blank node.
+    """
+    url, place = F.col("url"), F.concat(F.lit("_:box"), F.md5("url"))
+    time = F.date_format("generated", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    boxed = documents.where("west IS NOT NULL AND south IS NOT NULL AND east IS NOT NULL AND north IS NOT NULL")
+    out = _triples(documents, url, ("prov:hadPrimarySource", F.col("source"), "iri", None), ("prov:generatedAtTime", time, "literal", "xsd:dateTime"), ("prov:wasAttributedTo", F.lit(agent), "iri", None))
+    out = out.union(_triples(boxed, url, ("dcterms:spatial", place, "blank", None)))
+    wkt = geof.box_wkt(*[F.col(c).cast("double") for c in ("west", "south", "east", "north")])
+    return out.union(_triples(boxed, place, (TYPE, F.lit("dcterms:Location"), "iri", None), ("dcat:bbox", wkt, "literal", WKT_LITERAL)))
+
+
+def tile_triples(tiles_: DataFrame, layer: str, source: str, licences: list[str]) -> DataFrame:
+    """Tiles (z, x, y) as images of a place: title, resolution, licences and footprint."""
+    z, x, y = F.col("z"), F.col("x"), F.col("y")
+    name = F.concat_ws("/", z, x, y)
+    s, place = F.concat(F.lit(f"/tile/{layer}/"), name), F.concat(F.lit("_:tile-"), F.concat_ws("-", z, x, y))
+    box = tiles.tile_bbox(z, x, y)
+    wkt = geof.box_wkt(box["west"], box["south"], box["east"], box["north"])
+    out = _triples(tiles_, s, (TYPE, F.lit("dcat:Distribution"), "iri", None), (TYPE, F.lit("foaf:Image"), "iri", None), ("dcterms:title", F.concat(F.lit(f"{layer} tile "), name), "literal", None), ("dcat:spatialResolutionInMeters", F.round(tiles.ground_resolution(z, y), 6), "literal", "xsd:decimal"), ("prov:hadPrimarySource", F.lit(source), "iri", None), *[("dcterms:license", F.lit(x), "iri", None) for x in licences], ("dcterms:spatial", place, "blank", None))
+    return out.union(_triples(tiles_, place, (TYPE, F.lit("dcterms:Location"), "iri", None), ("dcat:bbox", wkt, "literal", WKT_LITERAL)))
+
+
+def key_triples(keys: DataFrame) -> DataFrame:
+    """Keys (k, uses) of an index as concepts of one scheme."""
+    s = F.concat(F.lit("/tag/"), percent_encoded(F.col("k")), F.lit("#concept"))
+    return _triples(keys, s, (TYPE, F.lit("skos:Concept"), "iri", None), ("skos:notation", F.col("k"), "literal", None), ("skos:inScheme", F.lit("/tag/#scheme"), "iri", None))
+
+
 def merged(*graphs: DataFrame) -> DataFrame:
     """The triples of several graphs as one set."""
     out = graphs[0].select(*COLUMNS)
@@ -133,10 +186,11 @@ def ntriples(triples: DataFrame, base: str) -> DataFrame:
         full = F.when(c.startswith("/"), F.concat(F.lit(base), F.replace(c, F.lit(" "), F.lit("%20"))))
         for prefix, name in {**PREFIXES, "osm:": f"{base}/vocab#"}.items():
             full = full.when(c.startswith(prefix), F.concat(F.lit(name), F.substring(c, F.lit(len(prefix) + 1), F.length(c))))
-        return F.concat(F.lit("<"), full.otherwise(c), F.lit(">"))
+        return F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), full.otherwise(c), F.lit(">")))
 
-    literal = F.concat(F.lit('"'), escaped(F.col("o"), LITERAL), F.lit('"'), F.coalesce(F.concat(F.lit("^^"), iri(F.col("o_datatype"))), F.lit("")))
-    return triples.select(F.concat_ws(" ", iri(F.col("s")), iri(F.col("p")), F.when(F.col("o_kind") == "iri", iri(F.col("o"))).otherwise(literal), F.lit(".")).alias("value"))
+    lang = F.concat(F.lit("@"), F.col("o_lang")) if "o_lang" in triples.columns else F.lit(None).cast("string")
+    literal = F.concat(F.lit('"'), escaped(F.col("o"), LITERAL), F.lit('"'), F.coalesce(lang, F.concat(F.lit("^^"), iri(F.col("o_datatype"))), F.lit("")))
+    return triples.select(F.concat_ws(" ", iri(F.col("s")), iri(F.col("p")), F.when(F.col("o_kind") == "literal", literal).otherwise(iri(F.col("o"))), F.lit(".")).alias("value"))
 
 
 __all__ = ["TYPES", "box_features", "changeset_triples", "concept", "element_triples", "feature_triples", "geometry_triples", "merged", "ntriples", "subject"]

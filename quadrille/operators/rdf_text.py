@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import geof
 from quadrille.functions.text import LITERAL, escaped
 from quadrille.operators.rdf import GEOMETRY, PREFIXES, TYPE, WKT_LITERAL
+from quadrille.operators.solutions import framed
 from quadrille.tables import materialize
 
 #: How deep blank nodes are opened inside of each other, and what stands for those below.
@@ -118,17 +119,4 @@ def geojson_of_triples(triples: DataFrame) -> DataFrame:
 def write_collection(features: DataFrame, path: str, attribution: str | None = None) -> None:
     """One file of a GeoJSON FeatureCollection for each partition of features (value), in their order."""
     noted = "" if attribution is None else f'"attribution":{json.dumps(attribution)},'
-    begin = f'{{"type":"FeatureCollection",{noted}"features":['
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = True
-        for batch in batches:
-            values = batch.column(0).to_pylist()
-            if values:
-                lines = [f"{begin if first else ','}\n{values[0]}", *[f",\n{v}" for v in values[1:]]]
-                first = False
-                yield pa.RecordBatch.from_arrays([pa.array(lines)], ["value"])
-        if not first:
-            yield pa.RecordBatch.from_arrays([pa.array(["]}"])], ["value"])
-
-    features.select("value").mapInArrow(run, "value string").write.text(path)
+    framed(features, f'{{"type":"FeatureCollection",{noted}"features":[', ",", "]}").write.text(path)

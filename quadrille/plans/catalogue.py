@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import geo, geof, terms, text, tiles
-from quadrille.operators import assemble, closure, rdf, rdf_text, select, spatial_join, tags, topology
+from quadrille.operators import assemble, closure, features, rdf, rdf_text, select, spatial_join, tags, topology
 from quadrille.plans import graph, paths
 from quadrille.sources import store
 from quadrille.sources.elements import Elements, projection_ctes
@@ -578,8 +578,10 @@ def points_in_areas(e):
 
 
 @query(
-    LINES + """ SELECT n.id AS point_id, m.rel_id AS area_id FROM relation_members m JOIN placed s ON m.type = 'way' AND s.id = m.ref JOIN nodes n ON (s.lat > n.lat) <> (s.lat2 > n.lat) AND n.lon < (s.lon2 - s.lon) * (n.lat - s.lat) / (s.lat2 - s.lat) + s.lon
-    WHERE s.id IN (SELECT id FROM kinds WHERE kind = 'Polygon') GROUP BY n.id, m.rel_id HAVING count(*) % 2 = 1""", *GEO, "relation_members"
+    LINES + """, sides AS MATERIALIZED (SELECT id, lon, lat, lon2, lat2 FROM placed WHERE lat <> lat2 AND id IN (SELECT id FROM kinds WHERE kind = 'Polygon')), parts AS MATERIALIZED (SELECT rel_id, ref FROM relation_members WHERE type = 'way'),
+    ring_sides AS MATERIALIZED (SELECT rel_id, lon, lat, lon2, lat2 FROM sides JOIN parts ON sides.id = parts.ref)
+    SELECT n.id AS point_id, s.rel_id AS area_id FROM nodes n JOIN ring_sides s ON (s.lat > n.lat) <> (s.lat2 > n.lat) AND n.lon < (s.lon2 - s.lon) * (n.lat - s.lat) / (s.lat2 - s.lat) + s.lon
+    GROUP BY n.id, s.rel_id HAVING count(*) % 2 = 1""", *GEO, "relation_members"
 )
 def points_in_multipolygons(e):
     """Nodes inside the closed ways of each relation together, even-odd: of rings that overlap, one is a hole in the other."""
@@ -588,6 +590,81 @@ def points_in_multipolygons(e):
     return spatial_join.points_in_areas(e.nodes.select("id", "lon", "lat"), areas, CELL)
 
 
+GRID = 20_000
+#: A square around each node, of one, two or three steps of the grid to each side.
+SQUARES = f", boxes AS MATERIALIZED (SELECT id, lon7 - (1 + id % 3) * {GRID} AS w, lat7 - (1 + id % 3) * {GRID} AS s, lon7 + (1 + id % 3) * {GRID} AS e, lat7 + (1 + id % 3) * {GRID} AS n FROM nodes)"
+
+
+def _squares(e):
+    r = (F.lit(1) + F.col("id") % 3) * GRID
+    corner = lambda x, y: geo.point((F.col("lon7") + x) / 1e7, (F.col("lat7") + y) / 1e7)
+    ring = F.array(corner(-r, -r), corner(r, -r), corner(r, r), corner(-r, r), corner(-r, -r))
+    none = F.array().cast("array<array<struct<lon:double,lat:double>>>")
+    return e.nodes.select("id", F.lit("Polygon").alias("kind"), F.array().cast("array<struct<lon:double,lat:double>>").alias("pts"), F.array(ring).alias("outers"), none.alias("inners"))
+
+
+INSIDE = "a.w >= b.w AND a.e <= b.e AND a.s >= b.s AND a.n <= b.n"
+AROUND = "b.w >= a.w AND b.e <= a.e AND b.s >= a.s AND b.n <= a.n"
+DEEP = "a.w < b.e AND b.w < a.e AND a.s < b.n AND b.s < a.n"
+
+
+@query(SQUARES + f" SELECT CASE WHEN {INSIDE} AND {AROUND} THEN 'sfEquals' WHEN {INSIDE} THEN 'sfWithin' WHEN {AROUND} THEN 'sfContains' WHEN {DEEP} THEN 'sfOverlaps' ELSE 'sfTouches' END AS relation, a.id AS a_id, b.id AS b_id FROM boxes a JOIN boxes b ON a.w <= b.e AND b.w <= a.e AND a.s <= b.n AND b.s <= a.n", "nodes")
+def topology_areas(e):
+    """How the squares around all nodes lie to each other."""
+    squares = materialize(_squares(e))
+    two = F.lit(2)
+    kind = F.coalesce(*[F.when(topology.holds(p, a_dim=two, b_dim=two), p) for p in ("sfEquals", "sfWithin", "sfContains", "sfOverlaps", "sfTouches")])
+    return topology.relate(squares, squares, CELL).select(kind.alias("relation"), "a_id", "b_id")
+
+
+TILE_W, TILE_S = 110007123, 494003517
+STREETS = f"""{LINES}, tiles AS (SELECT x * 100 + y AS tile, ({TILE_W} + x * 200000) / 1e7 AS t_w, ({TILE_S} + y * 200000) / 1e7 AS t_s, ({TILE_W} + (x + 1) * 200000) / 1e7 AS t_e, ({TILE_S} + (y + 1) * 200000) / 1e7 AS t_n FROM range(5) t(x), range((SELECT max(lat7) - {TILE_S} FROM nodes) // 200000 + 1) u(y)),
+    pieces AS (SELECT placed.id, tile, lon BETWEEN t_w AND t_e AND lat BETWEEN t_s AND t_n AS at_a, CASE WHEN lon = lon2 THEN CASE WHEN lon BETWEEN t_w AND t_e THEN 0 ELSE 2 END ELSE least((t_w - lon) / (lon2 - lon), (t_e - lon) / (lon2 - lon)) END AS x0, CASE WHEN lon = lon2 THEN 1 ELSE greatest((t_w - lon) / (lon2 - lon), (t_e - lon) / (lon2 - lon)) END AS x1,
+        CASE WHEN lat = lat2 THEN CASE WHEN lat BETWEEN t_s AND t_n THEN 0 ELSE 2 END ELSE least((t_s - lat) / (lat2 - lat), (t_n - lat) / (lat2 - lat)) END AS y0, CASE WHEN lat = lat2 THEN 1 ELSE greatest((t_s - lat) / (lat2 - lat), (t_n - lat) / (lat2 - lat)) END AS y1
+        FROM placed JOIN kinds USING (id), tiles WHERE kind = 'LineString')"""
+
+
+@query(STREETS + " SELECT id AS way_id, tile, CASE WHEN bool_and(at_a) THEN 'sfWithin' ELSE 'sfCrosses' END AS relation FROM pieces GROUP BY id, tile HAVING bool_or(at_a OR (x0 IS NOT NULL AND y0 IS NOT NULL AND greatest(x0, y0, 0) <= least(x1, y1, 1)))", *GEO)
+def topology_ways_tiles(e):
+    """Open ways that cross a tile of a coarse grid, or lie within it."""
+    rows = e.nodes.agg(F.floor((F.max("lat7") - TILE_S) / 200000).alias("last")).select(F.explode(F.sequence(F.lit(0), F.col("last"))).alias("y"))
+    grid = rows.select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("x"), "y")
+    corner = lambda i, j: geo.point((F.lit(TILE_W) + (F.col("x") + i) * 200000) / 1e7, (F.lit(TILE_S) + (F.col("y") + j) * 200000) / 1e7)
+    none = F.array().cast("array<array<struct<lon:double,lat:double>>>")
+    tiles_ = grid.select((F.col("x") * 100 + F.col("y")).alias("id"), F.lit("Polygon").alias("kind"), F.array().cast("array<struct<lon:double,lat:double>>").alias("pts"), F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))).alias("outers"), none.alias("inners"))
+    lines = assemble.way_geometries(e).where("kind = 'LineString'")
+    kind = F.when(topology.holds("sfWithin"), "sfWithin").when(topology.holds("sfCrosses", a_dim=F.lit(1), b_dim=F.lit(2)), "sfCrosses").otherwise("sfTouches")
+    return topology.relate(materialize(lines), materialize(tiles_), CELL).select(F.col("a_id").alias("way_id"), F.col("b_id").alias("tile"), kind.alias("relation"))
+
+
+CENTRES = f"""{LINES}, base AS (SELECT id, min_by(lon, seq) AS lon0, min_by(lat, seq) AS lat0 FROM placed GROUP BY id), moved AS (SELECT id, kind, lon0, lat0, lon - lon0 AS x, lat - lat0 AS y, lon2 - lon0 AS x2, lat2 - lat0 AS y2 FROM placed JOIN base USING (id) JOIN kinds USING (id)),
+    sums AS (SELECT id, kind, lon0, lat0, sum(x * y2 - x2 * y) AS a, sum((x + x2) * (x * y2 - x2 * y)) AS ax, sum((y + y2) * (x * y2 - x2 * y)) AS ay, sum(sqrt((x2 - x) ** 2 + (y2 - y) ** 2)) AS l, sum((x + x2) / 2 * sqrt((x2 - x) ** 2 + (y2 - y) ** 2)) AS lx, sum((y + y2) / 2 * sqrt((x2 - x) ** 2 + (y2 - y) ** 2)) AS ly FROM moved GROUP BY id, kind, lon0, lat0),
+    centres AS (SELECT id, lon0 + CASE WHEN kind = 'Polygon' THEN ax / (3 * a) ELSE lx / l END AS lon, lat0 + CASE WHEN kind = 'Polygon' THEN ay / (3 * a) ELSE ly / l END AS lat FROM sums WHERE (kind = 'Polygon' AND abs(a) > 1e-9) OR (kind = 'LineString' AND l > 0))"""
+
+
+def _wkt(e):
+    """WKT of the ways whose centroid is well defined: lines with a length and rings with an area."""
+    kinds = _kinds(e)
+    wide = F.abs(geo.total(F.transform(geo.steps("pts"), lambda s: (s["a"]["lon"] - F.col("pts")[0]["lon"]) * (s["b"]["lat"] - F.col("pts")[0]["lat"]) - (s["b"]["lon"] - F.col("pts")[0]["lon"]) * (s["a"]["lat"] - F.col("pts")[0]["lat"])))) > 1e-9
+    fine = kinds.where(((F.col("kind") == "Polygon") & wide) | ((F.col("kind") == "LineString") & (geo.line_length("pts") > 0)))
+    none = F.array().cast("array<array<struct<lon:double,lat:double>>>")
+    return fine.select("id", geo.wkt(F.col("kind"), F.col("pts"), F.when(F.col("kind") == "Polygon", F.array("pts")).otherwise(none), none).alias("wkt"))
+
+
+@query(CENTRES + " SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM centres", *GEO)
+def wkt_centroid(e):
+    """Of lines by length, of rings by area."""
+    c = geof.centroid("wkt")
+    return _wkt(e).select("id", c.alias("c")).select("id", F.round("c.lon", 6).alias("lon"), F.round("c.lat", 6).alias("lat"))
+
+
+@query(CENTRES + f" SELECT id, round({_haversine('c.lat', 'c.lon', 'base.lat0', 'base.lon0')}, 2) AS metres FROM centres c JOIN base USING (id)", *GEO)
+def wkt_distance(e):
+    """From a way's centroid to its first point."""
+    first = F.concat(F.lit("POINT("), F.regexp_extract("wkt", r"([-0-9.E]+ [-0-9.E]+)", 1), F.lit(")"))
+    return _wkt(e).select("id", F.round(geof.metric_distance("wkt", first), 2).alias("metres"))
+
+
 # Tiles -----------------------------------------------------------------------
 
 SIDE = f"{2**LEVEL}"
@@ -652,6 +729,55 @@ def percent_encode(e):
     return e.node_tags.select("v").distinct().select("v", text.percent_encoded(F.col("v")).alias("encoded"))
 
 
+# Features, links and descriptions ----------------------------------------------
+
+
+@query(
+    LINES
+    + """, shapes AS (SELECT 'node' AS type, id, 'Point' AS kind FROM nodes UNION ALL SELECT 'way', id, kind FROM kinds), props AS (SELECT 'node' AS type, id, count(*) AS n FROM node_tags GROUP BY id UNION ALL SELECT 'way', id, count(*) FROM way_tags GROUP BY id)
+    SELECT type, id, kind, coalesce(n, 0) + 2 AS properties FROM shapes LEFT JOIN props USING (type, id)""",
+    *GEO, "node_tags", "way_tags",
+)
+def features_read_back(e):
+    """GeoJSON features of all nodes and ways, read again."""
+    read = F.from_json("value", "geometry struct<type:string>, properties map<string,string>")
+    return features.element_features(e, "nw").select("type", "id", read.alias("f")).select("type", "id", F.col("f.geometry.type").alias("kind"), F.size("f.properties").cast("long").alias("properties"))
+
+
+@query(
+    """, articles AS (SELECT '/osm/node/' || id || '#id' AS s, replace(url_encode(v), '+', '%20') AS title, CASE WHEN id % 10 = 0 THEN 'en' ELSE 'de' END AS lang FROM node_tags WHERE k = 'name:de')
+    SELECT s, 'foaf:page' AS p, 'http://' || lang || '.wikipedia.org/wiki/' || title AS o FROM articles UNION ALL SELECT s, 'owl:sameAs', CASE lang WHEN 'en' THEN 'http://dbpedia.org/resource/' ELSE 'http://de.dbpedia.org/resource/' END || title FROM articles
+    UNION ALL SELECT '/osm/node/' || id || '#id', 'owl:sameAs', 'http://www.wikidata.org/entity/Q' || v FROM node_tags WHERE k = 'size' UNION ALL SELECT '/osm/node/' || id || '#id', 'rdfs:label', v FROM node_tags WHERE k = 'name:en'""",
+    "node_tags",
+)
+def link_triples(e):
+    """Articles, data items and labels of nodes as triples."""
+    german = F.concat(F.when(F.col("id") % 10 == 0, "en:").otherwise("de:"), F.col("v"))
+    t = e.node_tags.select(F.lit("node").alias("type"), "id", "k", "v")
+    linked = t.where("k = 'name:de'").select("type", "id", F.lit("wikipedia").alias("k"), german.alias("v")).union(t.where("k = 'size'").select("type", "id", F.lit("wikidata"), F.concat(F.lit("Q"), F.col("v")))).union(t.where("k = 'name:en'"))
+    return rdf.link_triples(linked).select("s", "p", "o")
+
+
+@query(TILE + f" SELECT '/tile/plain/{LEVEL}/' || x || '/' || y AS s, 'dcterms:title' AS p, 'plain tile {LEVEL}/' || x || '/' || y AS o FROM tiles UNION ALL SELECT '/tile/plain/{LEVEL}/' || x || '/' || y, 'dcterms:spatial', '_:tile-{LEVEL}-' || x || '-' || y FROM tiles UNION ALL SELECT '/tile/plain/{LEVEL}/' || x || '/' || y, 'dcterms:license', unnest(['https://opendatacommons.org/licenses/odbl/1-0/', 'https://creativecommons.org/licenses/by/4.0/']) FROM tiles", "nodes")
+def tile_descriptions(e):
+    """Titles, licences and places of all tiles that hold a node."""
+    found = _tiles(e).select(F.lit(LEVEL).alias("z"), "x", "y").distinct()
+    t = rdf.tile_triples(found, "plain", "https://example.org/tiles", ["https://opendatacommons.org/licenses/odbl/1-0/", "https://creativecommons.org/licenses/by/4.0/"])
+    return t.where("p IN ('dcterms:title', 'dcterms:license', 'dcterms:spatial')").select("s", "p", "o")
+
+
+@query(TAGS + ", keys AS (SELECT k FROM (SELECT k, count(*) AS uses FROM tags GROUP BY k ORDER BY uses DESC, k LIMIT 200) WHERE regexp_matches(k, '^[^*:+A-Z][^:]*$')) SELECT '/tag/' || url_encode(k) || '#concept' AS s, unnest(['rdf:type', 'skos:notation', 'skos:inScheme']) AS p, unnest(['skos:Concept', k, '/tag/#scheme']) AS o FROM keys", *TAGGED)
+def key_concepts(e):
+    """The key index as a scheme of concepts."""
+    return rdf.key_triples(tags.key_index(select.all_tags(e))).select("s", "p", "o")
+
+
+@query("SELECT DISTINCT v, CASE WHEN regexp_full_match(v, '[0-9]+') AND TRY_CAST(v AS bigint) > 0 THEN CAST(v AS bigint) END AS id FROM node_tags", "node_tags")
+def element_ids(e):
+    """Texts as ids of elements: positive whole numbers only."""
+    return e.node_tags.select("v").distinct().select("v", text.element_id(F.col("v")).alias("id"))
+
+
 # Triples ---------------------------------------------------------------------
 
 TRIPLES = (
@@ -952,14 +1078,14 @@ def graph_path_star(e):
 @query(
     EDGES
     + """, up AS (SELECT o AS n, s AS m FROM links UNION SELECT s, o FROM links) SELECT * FROM (
-    WITH RECURSIVE walk AS (SELECT s AS a, s AS z FROM named_ WHERE o = 'BRAZIL' UNION SELECT walk.a, up.m FROM walk JOIN up ON walk.z = up.n)
+    WITH RECURSIVE walk AS (SELECT s AS a, s AS z FROM named_ WHERE o = 'NATION_3' UNION SELECT walk.a, up.m FROM walk JOIN up ON walk.z = up.n)
     SELECT walk.a AS s, named_.o FROM walk JOIN named_ ON walk.z = named_.s)""",
     *ALL,
 )
 def graph_path_cycles(e):
     """All names that can be reached from one nation along links in both directions, any number of times."""
     t = _links(e)
-    start = t.where("p = '/tag/name' AND o = 'BRAZIL'").select(F.col("s").alias("n"))
+    start = t.where("p = '/tag/name' AND o = 'NATION_3'").select(F.col("s").alias("n"))
     return paths.pairs(t, (SEE | ~SEE).star() / NAME, start)
 
 
