@@ -9,12 +9,19 @@ their estimated success: the chance that a neighbour at a usual distance falls
 between the steps on either side. The numbers of projections and of probes grow
 with a range's entries, with no switch to another way at any size.
 
-Vectors themselves don't move for this. An entry goes to each table as a code of
-a byte a component, and a query goes once to each group of buckets (those that
-share their first steps) with its code and the list of buckets that it visits
-there. Codes of entries in visited buckets are compared, the best of all tables
-are merged, and only these are ranked by the exact inner product of the original
-vectors. A query that finds too few is compared with all entries, in blocks.
+How many probes it takes depends on the data, so it is measured: the true
+neighbours of a bounded sample of queries (``SAMPLED``) are found by comparing
+these with all entries, and in each range the probes grow, and then the
+projections shrink, until ``TARGET`` of the sample's neighbours there lie in
+visited buckets. With one projection left nearly every bucket is visited, so this
+ends for any data. All entries are indexed.
+
+An entry goes to each table with its vector, and a query goes once to each group
+of buckets (those that share their first steps) with its vector and the list of
+buckets that it visits there. Entries in visited buckets are compared in double
+precision (a rounded code can't tell near copies apart), the best of all tables
+are merged, and these are ranked by the exact inner product, summed in order.
+A query that finds too few is compared with all entries, in blocks.
 
 Work stays even: equal vectors are one entry with its smallest ids (as many as
 can be in a result), and crowded groups are cut into cells of bounded size on
@@ -35,14 +42,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quadrille.llm.common import materialize
 
-TABLES = 12
+TABLES = 4
 #: Width of a step, where projections of the unit sphere have a variance of 1.
 WIDTH = 2.5
-#: Distance on the unit sphere at which a neighbour is expected.
+#: Distance on the unit sphere at which a neighbour is expected where the sample shows none.
 NEAR = 1.05
+#: Queries whose true neighbours are looked up, the share of these that a range must find, and how often its probes double before projections go.
+SAMPLED, TARGET, DOUBLINGS = 128, 0.95, 2
 #: Steps to either side that a probe may take in a projection.
 OFFSETS = np.arange(-2, 3)
 SEED = 20
@@ -50,12 +60,12 @@ SEED = 20
 RANGES = 16
 #: Entries, or visiting queries, of a group of buckets from which it is cut into cells.
 CELL_ROWS = 16384
-#: Entries ranked exactly beyond those wanted, as codes are rounded.
+#: Entries ranked exactly beyond those wanted, as sums in another order differ in the last bits.
 SLACK = 8
-#: Pairs of codes that are multiplied at once.
-PAIRS = 1 << 15
+#: Pairs of vectors that are multiplied at once, and the share of all pairs from which a cell is multiplied as a whole.
+PAIRS, DENSE = 1 << 15, 0.125
 FOUND = ["query", "ids", "many", "near"]
-CELL = "cell long, query boolean, id long, many int, size double, code binary, buckets array<long>"
+CELL = "cell long, query boolean, id long, many int, vector binary, buckets array<long>"
 
 
 def hash_count(n: int) -> int:
@@ -81,9 +91,10 @@ def _below(z: np.ndarray) -> np.ndarray:
 class Hashing:
     """The tables' projections for a range of norms, always the same for a size and dimension."""
 
-    def __init__(self, number: int, n: int, dim: int, norm: float):
-        self.number, self.norm = number, norm
-        self.k, self.probes, self.g = hash_count(n), probe_count(n), group_count(n)
+    def __init__(self, number: int, n: int, dim: int, norm: float, k: int | None = None, probes: int | None = None, near: float = NEAR):
+        self.number, self.norm, self.near = number, norm, near
+        self.k, self.probes = k or hash_count(n), probes or probe_count(n)
+        self.g = max(1, min(self.k - 1, group_count(n)))
         rng = np.random.default_rng([SEED, number])
         shape = (TABLES, dim + 1, self.k)
         self.directions = np.concatenate([self._basis(rng, dim + 1, self.k)[None] for _ in range(shape[0])]) / WIDTH
@@ -117,7 +128,7 @@ class Hashing:
         what is added for the others doesn't depend on them.
         """
         low = np.floor(places)
-        rest, spread = places - low, NEAR / WIDTH
+        rest, spread = places - low, self.near / WIDTH
         gain, number = np.zeros((len(places), 1)), np.zeros((len(places), 1), np.int64)
         group = number
         for j in range(self.k):
@@ -134,6 +145,14 @@ class Hashing:
         order = np.argsort(-gain, axis=1, kind="stable")
         return np.take_along_axis(number, order, 1), np.take_along_axis(group, order, 1)
 
+    def recall(self, queries: np.ndarray, who: np.ndarray, found: np.ndarray) -> float:
+        """The share of pairs (number of the query, entry) whose entry lies in a bucket that its query visits."""
+        asked, at = self.places(queries, True), np.floor(self.places(found, False))
+        hit = np.zeros(len(who), bool)
+        for t in range(TABLES):
+            hit |= (self.visited(asked[t])[0][who] == self.bucket(at[t])[:, None]).any(axis=1)
+        return hit.mean()
+
     def table_number(self, t: int) -> int:
         return (self.number * TABLES + t) * 0x9E3779B97F4A7C1 & (1 << 62) - 1
 
@@ -142,11 +161,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
-def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A byte for each component, and the size of a step."""
-    size = np.abs(x).max(axis=1) / 127
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.nan_to_num(np.rint(x / size[:, None])).astype(np.int8), size
+def _bytes(x: np.ndarray, dtype: str) -> pa.Array:
+    return pa.array([v.tobytes() for v in x.astype(dtype)], pa.binary())
+
+
+def _dtype(df: DataFrame) -> str:
+    """The numbers of the column ``vec``, as numpy names them."""
+    return "f8" if isinstance(df.schema["vec"].dataType.elementType, DoubleType) else "f4"
 
 
 def valid_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -163,13 +184,14 @@ def _rows(df: DataFrame, hashings: dict[int, Hashing], query: bool, payload: boo
 
     Without payload the column ``cell`` alone. ``df`` has id, many, range and vec.
     """
+    dtype = _dtype(df)
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 x, of_range = _matrix(batch.column(3)), batch.column(2).to_numpy()
-                code, size = _codes(x) if payload else (None, None)
+                vector = _bytes(x, dtype) if payload else None
                 for number, hashing in hashings.items():
                     mine = np.arange(len(x)) if query else np.flatnonzero(of_range == number)
                     if not len(mine):
@@ -195,10 +217,9 @@ def _rows(df: DataFrame, hashings: dict[int, Hashing], query: bool, payload: boo
                             continue
                         row = mine[row]
                         take = pa.array(row)
-                        bytes_ = pa.array([code[i].tobytes() for i in row], pa.binary())
                         yield pa.RecordBatch.from_arrays(
-                            [cell, pa.array(np.full(len(row), query)), batch.column(0).take(take), batch.column(1).take(take), pa.array(size[row]), bytes_, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))],
-                            ["cell", "query", "id", "many", "size", "code", "buckets"],
+                            [cell, pa.array(np.full(len(row), query)), batch.column(0).take(take), batch.column(1).take(take), vector.take(take), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))],
+                            ["cell", "query", "id", "many", "vector", "buckets"],
                         )
 
     return df.select("id", "many", "range", "vec").mapInArrow(run, CELL if payload else "cell long")
@@ -206,14 +227,15 @@ def _rows(df: DataFrame, hashings: dict[int, Hashing], query: bool, payload: boo
 
 def _scan_rows(df: DataFrame, query: bool) -> DataFrame:
     """All rows in one bucket, for an exact scan."""
+    dtype = _dtype(df)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                code, size = _codes(_matrix(batch.column(2)))
-                zero = pa.array(np.zeros(len(size), np.int64))
-                buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32)), zero)
-                yield pa.RecordBatch.from_arrays([zero, pa.array(np.full(len(size), query)), batch.column(0), batch.column(1), pa.array(size), pa.array([c.tobytes() for c in code], pa.binary()), buckets], ["cell", "query", "id", "many", "size", "code", "buckets"])
+                n = batch.num_rows
+                zero = pa.array(np.zeros(n, np.int64))
+                buckets = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), zero)
+                yield pa.RecordBatch.from_arrays([zero, pa.array(np.full(n, query)), batch.column(0), batch.column(1), _bytes(_matrix(batch.column(2)), dtype), buckets], ["cell", "query", "id", "many", "vector", "buckets"])
 
     return df.select("id", "many", "vec").mapInArrow(run, CELL)
 
@@ -228,7 +250,7 @@ def _cells(rows: DataFrame, cut: DataFrame, own: str, other: str, query: bool) -
     return split.withColumn("cell", F.xxhash64("cell", first, second)).drop("mine", "theirs")
 
 
-def _search(keep: int):
+def _search(keep: int, dtype: str):
     """Rows come sorted by cell, its entries before its queries; a cell's entries are few."""
 
     def search(batches):
@@ -236,13 +258,13 @@ def _search(keep: int):
 
         def prepared():
             """The cell's entries in order of their buckets."""
-            bucket, ids, many, size, code = (np.concatenate(x) for x in zip(*parts))
+            bucket, ids, many, x = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(bucket, kind="stable")
-            return bucket[order], ids[order], many[order], size[order], code[order].astype(np.float32)
+            return bucket[order], ids[order], many[order], x[order].astype(np.float64)
 
-        def compared(ids, buckets, ends, code):
+        def compared(ids, buckets, ends, y):
             """The best entries of each query: (queries, where their lists begin, ids, many, near)."""
-            bucket, entry, many, size, codes = ready
+            bucket, entry, many, x = ready
             a, z = np.searchsorted(bucket, buckets, "left"), np.searchsorted(bucket, buckets, "right")
             total = np.append(0, np.cumsum(z - a))[ends]  # pairs before each query
             out, at = [], 0
@@ -252,11 +274,16 @@ def _search(keep: int):
                 n = z[s:e] - a[s:e]
                 pick = np.arange(n.sum()) + np.repeat(a[s:e] - np.append(0, np.cumsum(n)[:-1]), n)
                 who = np.repeat(np.arange(at, to), np.diff(total[at : to + 1]))
-                if to == at + 1:
-                    near = codes[pick] @ code[at]
+                if len(pick) >= DENSE * len(x) * (to - at):
+                    near = (y[at:to] @ x.T)[who - at, pick]
                 else:
-                    near = np.einsum("pd,pd->p", codes[pick], code[who])
-                near = (near * size[pick]).astype(np.float32)
+                    near = np.einsum("pd,pd->p", x[pick], y[who])
+                edges = total[at : to + 1] - total[at]
+                good = np.ones(len(near), bool)
+                for i in np.flatnonzero(np.diff(edges) > 8 * keep):
+                    own = near[edges[i] : edges[i + 1]]
+                    good[edges[i] : edges[i + 1]] = own >= np.partition(own, -keep)[-keep]
+                pick, who, near = pick[good], who[good], near[good]
                 order = np.lexsort((entry[pick], -near, who))
                 who = who[order]
                 start = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, int)
@@ -276,17 +303,16 @@ def _search(keep: int):
                 if cell_of[a] != cell:
                     cell, parts, ready = cell_of[a], [], None
                 part = whole.slice(a, z - a)
-                ids, many, size = (part.column(i).to_numpy() for i in (2, 3, 4))
-                code = np.frombuffer(b"".join(part.column(5).to_pylist()), np.int8).reshape(z - a, -1)
-                lists = part.column(6)
+                ids, many = (part.column(i).to_numpy() for i in (2, 3))
+                x = np.frombuffer(b"".join(part.column(4).to_pylist()), dtype).reshape(z - a, -1)
+                lists = part.column(5)
                 if not query[a]:
-                    parts.append((lists.flatten().to_numpy(), ids, many, size, code))
+                    parts.append((lists.flatten().to_numpy(), ids, many, x))
                 elif parts:
                     if ready is None:
                         ready = prepared()
                     ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy())).astype(np.int64)
-                    # A query's own step scales all its values alike.
-                    for q, at, *lists in compared(ids, lists.flatten().to_numpy(), ends, code.astype(np.float32)):
+                    for q, at, *lists in compared(ids, lists.flatten().to_numpy(), ends, x.astype(np.float64)):
                         if len(q):
                             yield pa.RecordBatch.from_arrays([pa.array(q), *[pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for x in lists]], FOUND)
 
@@ -303,7 +329,7 @@ def _merge(keep: int):
             query, lists = rows.column(0).to_numpy(), [rows.column(i) for i in (1, 2, 3)]
             who = np.repeat(query, lists[0].value_lengths().to_numpy())
             ids, many, near = (x.flatten().to_numpy() for x in lists)
-            order = np.lexsort((-near, ids, who))  # a rounded score may differ with the order of its sum
+            order = np.lexsort((-near, ids, who))  # a score may differ in its last bits with the order of its sum
             who, ids, many, near = (x[order] for x in (who, ids, many, near))
             once = np.append(True, (who[1:] != who[:-1]) | (ids[1:] != ids[:-1]))
             who, ids, many, near = (x[once] for x in (who, ids, many, near))
@@ -328,12 +354,63 @@ def _merge(keep: int):
     return merge
 
 
-def _best(cells: DataFrame, keep: int) -> DataFrame:
+def _best(cells: DataFrame, keep: int, dtype: str) -> DataFrame:
     """(query, id, many): the ``keep`` best of all that a query is compared with, as a table."""
-    found = cells.repartition("cell").sortWithinPartitions("cell", "query", "id").mapInArrow(_search(keep), "query long, ids array<long>, many array<int>, near array<float>")
+    found = cells.repartition("cell").sortWithinPartitions("cell", "query", "id").mapInArrow(_search(keep, dtype), "query long, ids array<long>, many array<int>, near array<double>")
     return materialize(found.repartition("query").sortWithinPartitions("query").mapInArrow(_merge(keep), "query long, id long, many int"))
 
 
+def _true_neighbours(entries: DataFrame, sample: list, k: int) -> list:
+    """(number of the query, range, vec) of the k nearest entries of each of a bounded sample of queries (id, vec), by comparing these with all entries."""
+    own, asked = np.array([r.id for r in sample]), np.array([r.vec for r in sample], np.float64)
+
+    def run(batches):
+        rows, near = [], np.zeros((len(own), 0))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                part = whole.slice(at, 4096)
+                score = asked @ _matrix(part.column(2)).T
+                score[own[:, None] == part.column(0).to_numpy()] = -np.inf
+                # The best so far and this slice's: their entries are kept, the others go.
+                both = np.hstack([near, score])
+                best = np.argpartition(-both, k - 1, axis=1)[:, :k] if both.shape[1] > k else np.tile(np.arange(both.shape[1]), (len(own), 1))
+                kept = np.unique(best)
+                held = sum(r.num_rows for r in rows)
+                table = [*rows, part]
+                rows = [pa.Table.from_batches(table).take(pa.array(kept)).combine_chunks().to_batches()[0]]
+                only = np.full(both.shape, -np.inf)
+                np.put_along_axis(only, best, np.take_along_axis(both, best, 1), 1)
+                near = only[:, kept]
+                assert held + part.num_rows == both.shape[1]
+        for q in range(len(own)):
+            pick = np.flatnonzero(near[q] > -np.inf)
+            if len(pick):
+                found = rows[0].take(pa.array(pick))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), q, np.int32)), found.column(0), found.column(1), pa.array(near[q][pick]), found.column(2)], ["number", "id", "range", "near", "vec"])
+
+    vec = entries.schema["vec"].dataType.simpleString()
+    found = entries.select("id", "range", "vec").mapInArrow(run, f"number int, id long, range int, near double, vec {vec}")
+    best = Window.partitionBy("number").orderBy(F.desc("near"), "id")
+    return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("number", "range", "vec").collect()  # at most SAMPLED * k rows
+
+
+def _fitted(number: int, n: int, dim: int, norm: float, queries: np.ndarray, who: np.ndarray, found: np.ndarray) -> Hashing:
+    """A range's hashing that finds TARGET of the sample's neighbours there: more probes first, then wider buckets."""
+    k, probes, near = hash_count(n), probe_count(n), NEAR
+    if len(who):
+        at = found / max(norm, 1e-300)
+        unit = queries[who] / np.linalg.norm(queries[who], axis=1, keepdims=True)
+        near = float(np.clip(np.sqrt(np.maximum(0, 2 - 2 * (unit * at).sum(axis=1))).mean(), 0.05, 2))
+    while True:
+        hashing = Hashing(number, n, dim, norm, k, probes, near)
+        if k == 1 or not len(who) or hashing.recall(queries, who, found) >= TARGET:
+            return hashing
+        if probes < probe_count(n) << DOUBLINGS:
+            probes *= 2
+        else:
+            k -= 1
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of which ``is_query`` (over vec_id) holds, the ``k`` nearest found."""
     rows = materialize(valid_vectors(vectors, vec_id, embedding))
@@ -346,18 +423,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     step = F.when(F.col("norm") > 0, F.least(F.lit(RANGES - 1), F.floor(2 * F.log2(F.lit(largest) / F.col("norm"))))).otherwise(RANGES - 1).cast("int")
     entries = entries.withColumn("range", step)
     sizes = entries.groupBy("range").agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.max(F.size("vec")).alias("dim")).collect()  # one row for each range
-    hashings = {r.range: Hashing(r.range, r.n, r.dim, r.norm) for r in sorted(sizes)}
     wanted = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vec")
     asked = materialize(wanted.join(entries.select("id", "vec"), "vec").select("query_id", "id"))
     queries = entries.join(asked.select("id").distinct(), "id", "left_semi")
     keep = k + 1 + SLACK
+    sample = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLED).select("id", "vec").collect()
+    true = _true_neighbours(entries, sample, k) if sample else []
+    asked_of = np.array([r.vec for r in sample], np.float64)
+    hashings = {}
+    for r in sorted(sizes):
+        mine = [t for t in true if t.range == r.range]
+        hashings[r.range] = _fitted(r.range, r.n, r.dim, r.norm, asked_of, np.array([t.number for t in mine], int), np.array([t.vec for t in mine], np.float64))
 
     def cut_of(left: DataFrame, right: DataFrame) -> DataFrame:
         count = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).alias(name)).where(F.col(name) > 1)
         return materialize(count(left, "parts").join(count(right, "query_parts"), "cell", "full"))
 
     def searched(left: DataFrame, right: DataFrame, cut: DataFrame) -> DataFrame:
-        return _best(_cells(left, cut, "parts", "query_parts", False).union(_cells(right, cut, "query_parts", "parts", True)), keep)
+        return _best(_cells(left, cut, "parts", "query_parts", False).union(_cells(right, cut, "query_parts", "parts", True)), keep, _dtype(entries))
 
     cut = cut_of(_rows(entries, hashings, False, False), _rows(queries, hashings, True, False))
     best = searched(_rows(entries, hashings, False, True), _rows(queries, hashings, True, True), cut)

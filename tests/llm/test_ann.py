@@ -107,3 +107,20 @@ def test_probes_come_in_order_of_estimated_success():
         every = sorted(itertools.product(range(-2, 3), repeat=h.k), key=lambda steps: -chance(row, steps))[: h.probes]
         assert got[row].tolist() == [int(h.bucket(low[row] + np.array(steps))) for steps in every]
         assert groups[row].tolist() == [int(h.bucket(low[row] + np.array(steps), h.g)) for steps in every]
+
+
+@pytest.mark.parametrize("kind", ["many dimensions", "near copies"])
+def test_recall_on_hard_rows(spark, kind):
+    """Many dimensions need more probes than few; copies that differ by a thousandth need exact comparisons."""
+    rng = np.random.default_rng(6)
+    n = 6000
+    x = rng.standard_normal((n, 192)) if kind == "many dimensions" else rng.standard_normal((6, 48))[rng.integers(6, size=n)] + 1e-3 * rng.standard_normal((n, 48))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = nearest(df, F.col("vec_id") % 60 == 0).collect()
+    hits = 0
+    for q in range(0, n, 60):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (20 * n / 60) >= 0.9
