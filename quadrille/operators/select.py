@@ -94,21 +94,27 @@ def around_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Pairs (left_id, right_id, metres) of two tables (id, lon, lat) within ``radius`` metres, anywhere on the globe.
 
     Rows meet in cubes of the unit sphere's space as wide as the radius' chord;
-    right rows stand in their own and the 26 neighbouring cubes. So neither the
-    poles nor the 180 degree meridian are special.
+    right rows stand in their own and those of the 26 neighbouring cubes that may
+    hold a point within reach. So neither the poles nor the 180 degree meridian
+    are special. Both sides are shuffled before the join is planned, which would
+    take right rows for as few as they were and send a side through the driver.
     """
     # A little wider, so that rounding parts no pair.
     size = 2 * math.sin(min(radius / (2 * EARTH_RADIUS), math.pi / 2)) * (1 + 1e-9) + 1e-12
 
-    def cube(lon: str, lat: str) -> list[Column]:
+    def place(lon: str, lat: str) -> list[Column]:
         x, y = F.radians(lon), F.radians(lat)
-        return [F.floor(c / size) for c in (F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y))]
+        return [c / size for c in (F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y))]
 
     names = ["cx", "cy", "cz"]
-    a = left.select(F.col("id").alias("left_id"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), *[c.alias(n) for c, n in zip(cube("lon", "lat"), names)])
+    a = left.select(F.col("id").alias("left_id"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), *[F.floor(c).alias(n) for c, n in zip(place("lon", "lat"), names)]).repartition(*names)
     shifts = F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(ds, names)]) for ds in product((-1, 0, 1), repeat=3)])
-    b = right.select(F.col("id").alias("right_id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.explode(shifts).alias("s"))
-    b = b.select("right_id", "lon2", "lat2", *[(c + F.col(f"s.{n}")).alias(n) for c, n in zip(cube("lon2", "lat2"), names)])
+    b = right.select(F.col("id").alias("right_id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), *[c.alias(n) for c, n in zip(place("lon", "lat"), names)])
+    # How far the cube is along an axis, in cubes; the radius is one.
+    gap = lambda n, d: F.when(d > 0, F.floor(n) + 1 - F.col(n)).when(d < 0, F.col(n) - F.floor(n)).otherwise(0.0)
+    reached = F.filter(shifts, lambda s: sum(gap(n, s[n]) * gap(n, s[n]) for n in names) <= 1 + 1e-6)
+    b = b.select("right_id", "lon2", "lat2", *names, F.explode(reached).alias("s"))
+    b = b.select("right_id", "lon2", "lat2", *[(F.floor(n) + F.col(f"s.{n}")).alias(n) for n in names]).repartition(*names)
     metres = haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     return a.join(b, names).select("left_id", "right_id", metres.alias("metres")).where(F.col("metres") <= radius)
 

@@ -23,3 +23,17 @@ def test_pairs_near_poles_and_across_the_meridian(spark):
     got = [(x.left_id, x.right_id) for x in around_pairs(df, df, 500.0).collect()]
     want = {(i, j) for i, a in enumerate(points) for j, b in enumerate(points) if metres(a, b) <= 500}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_multiplied_rows_are_not_taken_for_few(spark):
+    """Right rows stand in several cubes each: they are broadcast by their real size only, as all of a broadcast passes through the driver."""
+    points = spark.range(4000).selectExpr("id", "id * 0.01 AS lon", "id * 0.02 AS lat")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "200KB")
+    try:
+        found = around_pairs(points, points, 500.0)
+        found.collect()
+        final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "BroadcastHashJoin" not in final
+    finally:
+        spark.conf.unset(key)
