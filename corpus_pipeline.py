@@ -7,8 +7,8 @@ the last return the columns of ``documents``:
 1. quality rules: documents outside the usual range of their language and source go;
 2. line dedup: of lines that ten or more documents have only the one in the
    document with the smallest id stays; documents with no other line left go;
-3. near-dedup: of each group of near copies (five-word shingles, similarity 0.8 or more)
-   the smallest id stays;
+3. near-dedup: of each group of near copies (five-word shingles, similarity 0.8 or more),
+   linked by SimHash and pivot tables first and then exactly, the smallest id stays;
 4. secret scan: secrets are masked in the text;
 5. best-fit packing: a row for each piece of a document with its sequence and place.
 """

@@ -1,8 +1,14 @@
-"""Near copies by the exact similarity of their shingle sets.
+"""Near copies by SimHash and pivot distance tables, completed by the exact similarity of their shingle sets.
 
 Two documents are linked when the sets of their five-word shingles have a
 Jaccard similarity of 0.8 or more; components of links are groups of near copies.
 
+Fingerprints come first: documents within two bits, found through the pivot
+distance tables of ``simhash``, are held against each other, and what is similar
+is linked. At a similarity of 0.8 most fingerprints are further apart, and no
+radius tells such pairs from others, so an exact join looks among the documents
+of different components for the pairs that this leaves.
+
 No pair is lost. With the shingles of a set in one order that holds for all sets,
 sets of that similarity share one among the first fifth of each, so documents
 meet on these prefixes alone. The order is that of the shingles' hashes, with
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import as_bytes, map_texts, materialize
-from quadrille.llm.simhash import components
+from quadrille.llm.simhash import components, fingerprint, links
 
 SHINGLE_WORDS = 5
 SEED = 42
@@ -76,29 +82,33 @@ def prefix_length(n: int) -> int:
 
 
 def _sets(docs: DataFrame, common=None) -> DataFrame:
-    """(doc_id, sid, n, keys): a number for the set, its size, and its prefix; without ``common`` (a broadcast) the whole set."""
+    """(doc_id, sid, n, keys): a number for the set, its size, and its prefix, then with the text's fingerprint (fp); without ``common`` (a broadcast) the whole set."""
+    whole = common is None
 
     def make():
         known = Known()
         late = None if common is None else common.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sid, n, keys = [], [], []
+            sid, n, keys, fp = [], [], [], []
             for x in as_bytes(batch.column(1)):
                 found = shingle_set(x, known)
                 sid.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 n.append(len(found))
                 if late is not None:
+                    fp.append(fingerprint(x))
                     if len(late) and len(found):
                         is_late = late[np.minimum(np.searchsorted(late, found), len(late) - 1)] == found
                         found = np.concatenate([found[~is_late], found[is_late]])
                     found = found[: prefix_length(len(found))]
                 keys.append(found.view(np.int64))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "sid", "n", "keys"])
+            out = [batch.column(0), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            out += [] if whole else [pa.array(np.array(fp, np.uint64).view(np.int64))]
+            return pa.RecordBatch.from_arrays(out, ["doc_id", "sid", "n", "keys", "fp"][: len(out)])
 
         return each
 
-    return map_texts(docs, make, "doc_id long, sid long, n int, keys array<long>")
+    return map_texts(docs, make, "doc_id long, sid long, n int, keys array<long>" + ("" if whole else ", fp long"))
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
@@ -109,13 +119,22 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(found["key"].to_numpy(np.int64).view(np.uint64))
 
 
+def _near_fingerprints(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``sets`` (sid, fp) whose fingerprints link: each with the least one of its fingerprint, and the least ones of linked fingerprints."""
+    heads = materialize(sets.groupBy("fp").agg(F.min("sid").alias("head")))
+    same = sets.join(heads, "fp").where("sid <> head").select(F.col("head").alias("u"), F.col("sid").alias("v"))
+    side = lambda k: heads.select(F.col("fp").alias(k), F.col("head").alias(f"{k}_head"))
+    near = links(heads.select("fp")).join(side("u"), "u").join(side("v"), "v")
+    return materialize(same.union(near.select(F.least("u_head", "v_head"), F.greatest("u_head", "v_head"))).distinct())
+
+
 def _met(rows: DataFrame) -> DataFrame:
-    """Pairs (u, v) that meet at shingles which few have, and that sizes and shared shingles don't exclude.
+    """Pairs (u, v) of different roots that meet at shingles which few have, and that sizes and shared shingles don't exclude.
 
     ``n_crowded`` counts the other shingles of a prefix. Beyond the prefix that ends first, no more can be
     shared than its document has left.
     """
-    both = rows.alias("a").join(rows.alias("b"), F.expr("a.key = b.key AND a.sid < b.sid AND 5L * least(a.n, b.n) >= 4L * greatest(a.n, b.n)"))
+    both = rows.alias("a").join(rows.alias("b"), F.expr("a.key = b.key AND a.sid < b.sid AND a.root <> b.root AND 5L * least(a.n, b.n) >= 4L * greatest(a.n, b.n)"))
     left = lambda n: f"((4L * {n} + 4) DIV 5 - 1)"
     counted = both.groupBy(F.col("a.sid").alias("u"), F.col("b.sid").alias("v"), F.col("a.n").alias("n"), F.col("b.n").alias("m"), F.least("a.n_crowded", "b.n_crowded").alias("more")).agg(F.count("*").alias("shared"))
     return counted.where(f"9L * (shared + more + greatest({left('n')}, {left('m')})) >= 4L * (n + m)").select("u", "v")
@@ -145,9 +164,22 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(picked))
     prefixes = materialize(_sets(picked, common))
     # Equal sets are one.
-    one = materialize(prefixes.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    one = materialize(prefixes.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("fp").alias("fp")))
     groups = one.select("sid", "least")
-    rows = one.select("sid", "n", F.posexplode("keys").alias("at", "key"))
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        """Whole sets of the documents that are compared."""
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+        ids = materialize(groups.join(wanted, "sid", "left_semi"))
+        # Rows that repeat an id with other texts add sets that no pair names.
+        texts = picked.join(ids.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
+        return materialize(_sets(texts).select("sid", "keys").dropDuplicates(["sid"]))
+
+    # By fingerprints first; then exactly what these leave apart.
+    near = _near_fingerprints(one.select("sid", "fp"))
+    linked = _similar(near, whole(near))
+    rooted = one.join(components(linked).select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rows = rooted.select("sid", "root", "n", F.posexplode("keys").alias("at", "key"))
     met = rows.withColumn("together", F.count("*").over(Window.partitionBy("key"))).where("together > 1")
     of_set = Window.partitionBy("sid")
     crowded = F.col("together") > CROWDED
@@ -162,21 +194,12 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # Only those that are neighbours at many shingles: none is lost, as all that stay apart are compared below.
     beside = beside.groupBy("sid", "other", "n").agg(F.count("*").alias("times")).where("times * 15 >= n")
     pairs = _met(few).union(beside.select(F.least("sid", "other").alias("u"), F.greatest("sid", "other").alias("v")))
-    pairs = materialize(pairs.distinct())
-
-    def whole(pairs: DataFrame) -> DataFrame:
-        """Whole sets of the documents that are compared."""
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-        ids = materialize(groups.join(wanted, "sid", "left_semi"))
-        # Rows that repeat an id with other texts add sets that no pair names.
-        texts = picked.join(ids.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
-        return materialize(_sets(texts).select("sid", "keys").dropDuplicates(["sid"]))
-
-    links = _similar(pairs, whole(pairs))
-    apart = crowd.join(components(links).select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    pairs = materialize(pairs.distinct().join(near, ["u", "v"], "left_anti"))
+    linked = materialize(linked.union(_similar(pairs, whole(pairs))))
+    apart = crowd.drop("root").join(components(linked).select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     apart = materialize(apart)
-    rest = materialize(_met_apart(apart).join(pairs, ["u", "v"], "left_anti"))
-    roots = components(links.union(_similar(rest, whole(rest))))
+    rest = materialize(_met_apart(apart).join(pairs.union(near), ["u", "v"], "left_anti"))
+    roots = components(linked.union(_similar(rest, whole(rest))))
 
     rooted = groups.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.llm import near_copies
 from quadrille.llm.near_copies import near_copy_dedup
@@ -74,3 +76,13 @@ def test_stage_drops_near_copies_that_few_bits_do_not_show(spark, make_docs):
 
 def test_empty(make_docs):
     assert near_copy_dedup(make_docs([(1, "x")]).limit(0)).count() == 0
+
+
+def test_fingerprints_link_first(spark, make_docs, monkeypatch):
+    """Close copies are found through the fingerprints' pivot tables, without the exact join."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{rng.integers(5000)}" for _ in range(400)) for _ in range(20)]
+    docs = make_docs([(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " end") for i, t in enumerate(texts)])
+    monkeypatch.setattr(near_copies, "_met", lambda rows: rows.select(F.col("sid").alias("u"), F.col("sid").alias("v")).limit(0))
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert sum(found[100 + i] == i for i in range(20)) >= 15 and all(found[i] == i for i in range(20))
