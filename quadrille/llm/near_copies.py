@@ -162,9 +162,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """(doc_id, component_id): the smallest doc_id that links reach, a row for each row that has an id."""
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(picked))
-    prefixes = materialize(_sets(picked, common))
-    # Equal sets are one.
-    one = materialize(prefixes.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("fp").alias("fp")))
+    # Numbers of rows hold once they are written.
+    prefixes = materialize(_sets(picked, common).withColumn("row", F.monotonically_increasing_id()))
+    # Equal sets are one; its prefix stays in the first table, so it is written once only.
+    one = materialize(prefixes.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("row").alias("row")))
     groups = one.select("sid", "least")
 
     def whole(pairs: DataFrame) -> DataFrame:
@@ -178,9 +179,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # By fingerprints first; then exactly what these leave apart.
     near = _near_fingerprints(one.select("sid", "fp"))
     linked = _similar(near, whole(near))
-    rooted = one.join(components(linked).select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    rows = rooted.select("sid", "root", "n", F.posexplode("keys").alias("at", "key"))
-    met = rows.withColumn("together", F.count("*").over(Window.partitionBy("key"))).where("together > 1")
+    rooted = one.select("sid", "n").join(components(linked).select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rows = one.select("row", "sid").join(prefixes.select("row", "keys"), "row").select("sid", F.posexplode("keys").alias("at", "key"))
+    # All shingles move here, so what their sets have in common comes after.
+    met = rows.withColumn("together", F.count("*").over(Window.partitionBy("key"))).where("together > 1").join(rooted, "sid")
     of_set = Window.partitionBy("sid")
     crowded = F.col("together") > CROWDED
     met = materialize(met.withColumn("n_crowded", F.count_if(crowded).over(of_set)))

@@ -86,3 +86,11 @@ def test_fingerprints_link_first(spark, make_docs, monkeypatch):
     monkeypatch.setattr(near_copies, "_met", lambda rows: rows.select(F.col("sid").alias("u"), F.col("sid").alias("v")).limit(0))
     found = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
     assert sum(found[100 + i] == i for i in range(20)) >= 15 and all(found[i] == i for i in range(20))
+
+
+def test_prefixes_are_written_once(make_docs, monkeypatch):
+    written = []
+    keep = near_copies.materialize
+    monkeypatch.setattr(near_copies, "materialize", lambda df: written.append(set(df.columns)) or keep(df))
+    assert found(make_docs([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g")])).count() == 3
+    assert sum({"n", "keys"} <= columns for columns in written) == 1
