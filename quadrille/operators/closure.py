@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.sources.elements import Elements
@@ -21,9 +21,9 @@ def _refs(e: Elements) -> DataFrame:
 def way_full(e: Elements, ways: DataFrame) -> DataFrame:
     """(way_id, node_id) of each way's nodes, once each, for ways (column id) that have all of them."""
     refs = e.way_nodes.join(ways.select(F.col("id").alias("way_id")), "way_id", "left_semi").select("way_id", "node_id").distinct()
-    found = refs.join(e.nodes.select(F.col("id").alias("node_id"), F.lit(True).alias("there")), "node_id", "left")
-    missing = found.where(F.col("there").isNull()).select("way_id").distinct()
-    return refs.join(missing, "way_id", "left_anti")
+    there = e.nodes.select(F.col("id").alias("node_id")).distinct().withColumn("there", F.lit(True))
+    lacking = F.count_if(F.col("there").isNull()).over(Window.partitionBy("way_id"))
+    return refs.join(there, "node_id", "left").withColumn("lacking", lacking).where("lacking = 0").select("way_id", "node_id")
 
 
 def relation_full(e: Elements, relations: DataFrame) -> DataFrame:

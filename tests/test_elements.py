@@ -96,3 +96,22 @@ def test_points_in_areas(spark):
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.0, 1.0), (3, 0.1, 1.9)], "id long, lon double, lat double")
     for cell in (0.3, 1.0, 10.0):
         assert rows(spatial_join.points_in_areas(points, areas, cell)) == [(1, 1), (3, 1)]
+
+
+def test_tasks_are_bounded_where_the_session_does_not_say(spark):
+    key, given = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
+    try:
+        spark.conf.unset(key)
+        Elements.from_tables(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(key) == "16m"
+        spark.conf.set(key, "8m")
+        Elements.from_tables(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(key) == "8m"
+    finally:
+        spark.conf.unset(key) if given is None else spark.conf.set(key, given)
+
+
+def test_references_are_read_once_for_whole_ways(e):
+    found = closure.way_full(e, e.ways)
+    assert rows(found) == [(10, 1), (10, 2), (10, 3)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
