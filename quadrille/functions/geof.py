@@ -33,8 +33,8 @@ def _body(wkt: Column | str) -> Column:
 
 
 def _line(text: Column) -> Column:
-    number = lambda p, i: F.try_element_at(F.split(F.trim(F.regexp_replace(p, r"[()]", " ")), r"\s+"), F.lit(i)).try_cast("double")
-    return F.transform(F.split(text, ","), lambda p: point(number(p, 1), number(p, 2)))
+    number = lambda words, i: F.try_element_at(words, F.lit(i)).try_cast("double")
+    return F.transform(F.split(text, ","), lambda p: _let(F.split(F.trim(F.translate(p, "()", "  ")), r"\s+"), lambda words: point(number(words, 1), number(words, 2))))
 
 
 def _rings(text: Column) -> Column:
@@ -44,15 +44,22 @@ def _rings(text: Column) -> Column:
 
 def _of_one(text: Column) -> Column:
     """Parts of a text that isn't a collection."""
-    name = F.upper(F.regexp_extract(text, r"^\s*([A-Za-z]+)", 1))
-    inside = F.regexp_extract(text, r"^\s*[A-Za-z]+[^(]*\(([\s\S]*)\)\s*$", 1)
-    # Each kind of several parts is cut where its parts meet.
-    between = F.when(name == "MULTIPOINT", ",").when(name == "MULTIPOLYGON", r"\)\s*\)\s*,\s*\(\s*\(").when(name == "MULTILINESTRING", r"\)\s*,\s*\(")
-    cut = F.when(between.isNull(), F.array(inside)).otherwise(F.split(inside, between))
-    dim = F.when(name.endswith("POINT"), 0).when(name.endswith("LINESTRING"), 1).when(name.endswith("POLYGON"), 2)
-    made = F.transform(cut, lambda t: F.struct(dim.alias("dim"), _rings(t).alias("rings")))
-    known = name.isin("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
-    return F.when(text.rlike(r"(?i)^\s*[A-Z]+\s+EMPTY\s*$"), F.array().cast(PARTS)).when(known & (inside != ""), made)
+
+    def made(x: Column) -> Column:
+        name, inside = x["name"], x["inside"]
+        # Each kind of several parts is cut where its parts meet.
+        between = F.when(name == "MULTIPOINT", ",").when(name == "MULTIPOLYGON", r"\)\s*\)\s*,\s*\(\s*\(").when(name == "MULTILINESTRING", r"\)\s*,\s*\(")
+        cut = F.when(between.isNull(), F.array(inside)).otherwise(F.split(inside, between))
+        dim = F.when(name.endswith("POINT"), 0).when(name.endswith("LINESTRING"), 1).when(name.endswith("POLYGON"), 2)
+        known = name.isin("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
+        return F.when(known & (inside != ""), F.transform(cut, lambda t: F.struct(dim.alias("dim"), _rings(t).alias("rings"))))
+
+    def read(t: Column) -> Column:
+        name = F.upper(F.regexp_extract(t, r"^\s*([A-Za-z]+)", 1))
+        inside = F.regexp_extract(t, r"^\s*[A-Za-z]+[^(]*\(([\s\S]*)\)\s*$", 1)
+        return F.when(t.rlike(r"(?i)^\s*[A-Z]+\s+EMPTY\s*$"), F.array().cast(PARTS)).otherwise(_let(F.struct(name.alias("name"), inside.alias("inside")), made))
+
+    return _let(text, read)
 
 
 def parts(wkt: Column | str) -> Column:
@@ -64,7 +71,7 @@ def parts(wkt: Column | str) -> Column:
 
     # Brackets of collections that ended are in surplus; a member's own are in pairs.
     closed = lambda t: F.substring(t, F.lit(1), F.length(t) - F.greatest(F.lit(0), F.regexp_count(t, F.lit(r"\)")) - F.regexp_count(t, F.lit(r"\("))))
-    found = F.flatten(F.transform(_let(_body(wkt), members), lambda t: _of_one(closed(F.trim(t)))))
+    found = F.flatten(F.transform(_let(_body(wkt), members), lambda t: _of_one(_let(F.trim(t), closed))))
     number = lambda r: F.forall(r, lambda x: x["lon"].isNotNull() & x["lat"].isNotNull())
     closed_ring = lambda r: (F.size(r) >= 4) & (F.try_element_at(r, F.lit(1)) == F.try_element_at(r, F.lit(-1)))
     fine = lambda f: F.forall(f, lambda p: F.forall(p["rings"], lambda r: number(r) & F.when(p["dim"] == 2, closed_ring(r)).when(p["dim"] == 1, F.size(r) >= 2).otherwise(True)))
@@ -105,15 +112,17 @@ def centroid(wkt: Column | str) -> Column:
         """Area and first moments about the ring's first point, which keeps digits."""
         at = r[0]
         moved = F.transform(r, lambda q: point(q["lon"] - at["lon"], q["lat"] - at["lat"]))
-        s = steps(moved)
-        w = total(F.transform(s, cross)) / 2
-        m = lambda f: total(F.transform(s, lambda x: (x["a"][f] + x["b"][f]) * cross(x))) / 6
-        turn = F.signum(w) * sign
-        return F.struct((w * turn).alias("w"), (turn * (m("lon") + w * at["lon"])).alias("x"), (turn * (m("lat") + w * at["lat"])).alias("y"))
+        m = lambda s, f: total(F.transform(s, lambda x: (x["a"][f] + x["b"][f]) * cross(x))) / 6
+
+        def moments(x: Column) -> Column:
+            turn = F.signum(x["w"]) * sign
+            return F.struct((x["w"] * turn).alias("w"), *[(turn * (x[n] + x["w"] * at[f])).alias(n) for n, f in (("x", "lon"), ("y", "lat"))])
+
+        sums = lambda s: F.struct((total(F.transform(s, cross)) / 2).alias("w"), m(s, "lon").alias("x"), m(s, "lat").alias("y"))
+        return _let(_let(_let(moved, steps), sums), moments)
 
     def line(r: Column) -> Column:
-        s = steps(r)
-        return F.struct(total(F.transform(s, flat)).alias("w"), total(F.transform(s, lambda x: middle(x, "lon") * flat(x))).alias("x"), total(F.transform(s, lambda x: middle(x, "lat") * flat(x))).alias("y"))
+        return _let(steps(r), lambda s: F.struct(total(F.transform(s, flat)).alias("w"), total(F.transform(s, lambda x: middle(x, "lon") * flat(x))).alias("x"), total(F.transform(s, lambda x: middle(x, "lat") * flat(x))).alias("y")))
 
     def dots(r: Column) -> Column:
         return F.struct(F.size(r).cast("double").alias("w"), total(F.transform(r, lambda q: q["lon"])).alias("x"), total(F.transform(r, lambda q: q["lat"])).alias("y"))

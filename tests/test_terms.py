@@ -166,3 +166,9 @@ def test_collections(spark, tmp_path):
     (file,) = (tmp_path / "c").glob("part*")
     read = json.loads(file.read_text())
     assert read["attribution"] == "© us" and [f["id"] for f in read["features"]] == list(range(7)) and sorted(read) == ["attribution", "features", "type"]
+
+
+def test_texts_are_taken_apart_once(spark):
+    """No step of reading a text stands in the plan again for each use of its result."""
+    plan = spark.createDataFrame([("POINT(1 2)",)], "wkt string").select(geof.centroid("wkt").alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_count") <= 2 and plan.count("[^(]*") == 1
