@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,11 +30,11 @@ def header(base: str) -> str:
 
 def _iri(c: Column, base: str) -> Column:
     """A prefixed name where the rest is plain enough, else the whole address."""
-    out = F.lit(None).cast("string")
-    for prefix, name in {**PREFIXES, "osm:": f"{base}/vocab#"}.items():
-        rest = F.substring(c, F.lit(len(prefix) + 1), F.length(c))
-        full = F.concat(F.lit(f"<{name}"), rest, F.lit(">"))
-        out = F.when(c.startswith(prefix), F.when(rest.rlike("^[A-Za-z_][A-Za-z0-9_-]*$"), c).otherwise(full)).otherwise(out)
+    names = {**PREFIXES, "osm:": f"{base}/vocab#"}
+    prefix = F.regexp_extract(c, f"^({'|'.join(map(re.escape, names))})", 1)
+    name = F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), prefix)
+    rest = F.substring(c, F.length(prefix) + 1, F.length(c))
+    out = F.when(rest.rlike("^[A-Za-z_][A-Za-z0-9_-]*$") & name.isNotNull(), c).otherwise(F.concat(F.lit("<"), name, rest, F.lit(">")))
     path = F.when(c.startswith("/"), F.concat(F.lit(base), c)).otherwise(c)
     safe = path
     for sign, code in ((" ", "%20"), ("<", "%3C"), (">", "%3E"), ('"', "%22"), ("{", "%7B"), ("}", "%7D"), ("|", "%7C"), ("^", "%5E"), ("`", "%60"), ("\\", "%5C")):
@@ -49,7 +50,9 @@ def turtle(triples: DataFrame, base: str) -> DataFrame:
     lang = F.concat(F.lit("@"), F.col("o_lang")) if "o_lang" in triples.columns else F.lit(None).cast("string")
     mark = F.coalesce(lang, F.concat(F.lit("^^"), _iri(F.col("o_datatype"), base)), F.lit(""))
     literal = F.concat(F.lit('"'), escaped(F.col("o"), LITERAL), F.lit('"'), mark)
-    terms = triples.select("s", "p", F.when(F.col("o_kind") == "literal", literal).otherwise(_iri(F.col("o"), base)).alias("o")).where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").distinct()
+    terms = triples.select("s", "p", F.when(F.col("o_kind") == "literal", literal).otherwise(_iri(F.col("o"), base)).alias("o")).where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
+    # All that follows is within a subject, so rows move once.
+    terms = terms.repartition("s").distinct()
     objects = terms.groupBy("s", "p").agg(F.array_sort(F.collect_list("o")).alias("o"))
     verb = F.when(F.col("p") == TYPE, F.lit("a")).otherwise(_iri(F.col("p"), base))
     lines = objects.select("s", F.struct((F.col("p") != TYPE).alias("late"), F.col("p").alias("p"), F.concat(verb, F.lit(" "), F.array_join("o", ", ")).alias("line")).alias("l"))

@@ -74,3 +74,14 @@ def test_registries(spark, tmp_path):
     assert [(r.at, r.name, r.query) for r in registry.examples(spark, f"{tmp_path}/e.json").orderBy("at").collect()] == [(0, "one", "q\n1"), (1, "two", "q2")]
     (tmp_path / "x.json").write_text("no json")
     assert registry.regions(spark, f"{tmp_path}/x.json").count() == 0
+
+
+def test_prefixed_names_are_one_lookup(spark):
+    """A check for each prefix made the code too large to be compiled, so every row was interpreted."""
+    from quadrille.operators import rdf_text
+
+    rows = [("/a", "osm:x", "v", "literal", "osm:t"), ("/a", "nope:x", "geo:1 2", "iri", None), ("_:b", "geo:lat", "foaf:n", "iri", None)]
+    blocks = rdf_text.turtle(spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string"), "https://e.org")
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("StartsWith") < 4 * 13
+    got = {r.s: r.value for r in blocks.collect()}
+    assert got == {"/a": '<https://e.org/a> <nope:x> <http://www.w3.org/2003/01/geo/wgs84_pos#1 2> ;\n    osm:x "v"^^osm:t .\n', "_:b": "_:b geo:lat foaf:n .\n"}
