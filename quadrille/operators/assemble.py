@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,38 +69,64 @@ def stitch(segments: list[list[tuple[float, float]]]) -> list[list[tuple[float,
     return rings
 
 
-def relation_geometries(e: Elements) -> DataFrame:
+def relation_geometries(e: Elements, areas_only: bool = False) -> DataFrame:
     """(id, kind, pts, outers, inners) of relations with a geometry.
 
     Areas are stitched from their member ways; any other relation, and an area
     without an outer ring, is the line of its members' points in order.
+    ``areas_only`` gives the relations that have an outer ring, and assembles no others.
     """
-    lines = way_lines(e)
-    ways = e.relation_members.where("type = 'way'").join(lines.select(F.col("id").alias("ref"), "pts"), "ref").select("rel_id", "seq", "role", "pts")
-    nodes = e.relation_members.where("type = 'node'").join(e.nodes.select(F.col("id").alias("ref"), F.array(point("lon", "lat")).alias("pts")), "ref").select("rel_id", "seq", F.lit("node").alias("role"), "pts")
-    members = ways.union(nodes).groupBy(F.col("rel_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("seq", "role", "pts"))).alias("members"))
     types = e.relation_tags.where("k = 'type'").groupBy("id").agg(F.min_by("v", "seq").alias("type"))
-    typed = members.join(types, "id", "left").select("id", F.coalesce(F.col("type").isin(*AREA_TYPES), F.lit(False)).alias("area"), "members")
-    pts = pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))
+    area = F.coalesce(F.col("type").isin(*AREA_TYPES), F.lit(False))
+    wanted = e.relation_members
+    if areas_only:
+        wanted = wanted.join(types.where(area).select(F.col("id").alias("rel_id")), "rel_id", "left_semi")
+    lines = way_lines(e)
+    members = wanted.where("type = 'way'").join(lines.select(F.col("id").alias("ref"), "pts"), "ref").select("rel_id", "seq", "role", "pts")
+    if not areas_only:
+        nodes = wanted.where("type = 'node'").join(e.nodes.select(F.col("id").alias("ref"), F.array(point("lon", "lat")).alias("pts")), "ref")
+        members = members.union(nodes.select("rel_id", "seq", F.lit("node").alias("role"), "pts"))
+    members = members.groupBy(F.col("rel_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("seq", "role", "pts"))).alias("members"))
+    typed = members.select("id", F.lit(True).alias("area"), "members") if areas_only else members.join(types, "id", "left").select("id", area.alias("area"), "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Only the order-dependent stitching runs here; each relation is a row."""
-        as_struct = lambda line: [{"lon": x, "lat": y} for x, y in line]
         for batch in batches:
-            out = [], [], []
-            for area, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                parts = [(m["role"], [(p["lon"], p["lat"]) for p in m["pts"]]) for m in rows]
-                outers = stitch([p for role, p in parts if role not in ("inner", "node")]) if area else []
-                inners = stitch([p for role, p in parts if role == "inner"]) if outers else []
-                out[0].append([] if outers else as_struct([p for _, line in parts for p in line]))
-                out[1].append([as_struct(r) for r in outers])
-                out[2].append([as_struct(r) for r in inners])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pts), pa.array(out[1], pa.list_(pts)), pa.array(out[2], pa.list_(pts))], ["id", "pts", "outers", "inners"])
+            _, role, pts = batch.column(2).flatten().flatten()
+            lon, lat = (c.to_numpy(zero_copy_only=False) for c in pts.flatten().flatten())
+            roles, points = role.to_pylist(), list(zip(lon.tolist(), lat.tolist()))
+            at = _ends(pts.value_lengths())
+            of = _ends(batch.column(2).value_lengths())
+            rings = [], []
+            for area, first, last in zip(batch.column(1).to_pylist(), of, of[1:]):
+                parts = [(roles[i], points[at[i] : at[i + 1]]) for i in range(first, last)] if area else []
+                outers = stitch([p for r, p in parts if r not in ("inner", "node")])
+                rings[0].append(outers)
+                rings[1].append(stitch([p for r, p in parts if r == "inner"]) if outers else [])
+            counts = np.diff(np.take(at, of))
+            open_ = np.array([not r for r in rings[0]], dtype=bool)
+            keep = np.repeat(open_, counts)
+            lines = pa.ListArray.from_arrays(_ends(np.where(open_, counts, 0)), pa.StructArray.from_arrays([lon[keep], lat[keep]], ["lon", "lat"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lines, *[_ring_lists(r) for r in rings]], ["id", "pts", "outers", "inners"])
 
     line = "array<struct<lon:double,lat:double>>"
     found = typed.mapInArrow(run, f"id long, pts {line}, outers array<{line}>, inners array<{line}>")
     kind = F.when(F.size("outers") > 1, "MultiPolygon").when(F.size("outers") == 1, "Polygon").when(F.size("pts") > 1, "LineString").when(F.size("pts") == 1, "Point").otherwise("Empty")
-    return found.select("id", kind.alias("kind"), "pts", "outers", "inners")
+    out = found.select("id", kind.alias("kind"), "pts", "outers", "inners")
+    return out.where(F.size("outers") > 0) if areas_only else out
+
+
+def _ends(lengths) -> np.ndarray:
+    """Offsets of lists that have these lengths."""
+    return np.concatenate([[0], np.cumsum(np.asarray(lengths, dtype=np.int64))]).astype(np.int32)
+
+
+def _ring_lists(rings: list[list[list[tuple[float, float]]]]) -> pa.Array:
+    """A list of rings for each relation as one array."""
+    flat = [ring for r in rings for ring in r]
+    points = np.array([p for ring in flat for p in ring], dtype=np.float64).reshape(-1, 2)
+    items = pa.StructArray.from_arrays([np.ascontiguousarray(points[:, i]) for i in (0, 1)], ["lon", "lat"])
+    return pa.ListArray.from_arrays(_ends([len(r) for r in rings]), pa.ListArray.from_arrays(_ends([len(r) for r in flat]), items))
 
 
 def geometry_area(outers="outers", inners="inners"):

@@ -541,13 +541,13 @@ def multipolygon_rings(e):
 
 @query()
 def multipolygon_area(e):
-    return assemble.relation_geometries(e).where(F.size("outers") > 0).select("id", F.round(assemble.geometry_area(), 1).alias("m2"))
+    return assemble.relation_geometries(e, areas_only=True).select("id", F.round(assemble.geometry_area(), 1).alias("m2"))
 
 
 @query()
 def inner_ring_assignment(e):
     """Rings of each polygon: all holes belong to the first outer ring."""
-    areas = assemble.relation_geometries(e).where(F.size("outers") > 0)
+    areas = assemble.relation_geometries(e, areas_only=True)
     ring = F.posexplode("outers").alias("ring", "pts")
     return areas.select("id", F.size("inners").alias("holes"), ring).select("id", "ring", F.when(F.col("ring") == 0, F.col("holes")).otherwise(0).alias("holes"), F.size("pts").alias("n_points"))
 
@@ -1200,12 +1200,12 @@ def wkt_read_back(e):
 
 @query()
 def kml_polygons(e):
-    return _written(assemble.relation_geometries(e).where(F.size("outers") > 0), geo.kml)
+    return _written(assemble.relation_geometries(e, areas_only=True), geo.kml)
 
 
 @query()
 def gml_polygons(e):
-    return _written(assemble.relation_geometries(e).where(F.size("outers") > 0), geo.gml)
+    return _written(assemble.relation_geometries(e, areas_only=True), geo.gml)
 
 
 @query()

@@ -115,3 +115,18 @@ def test_references_are_read_once_for_whole_ways(e):
     found = closure.way_full(e, e.ways)
     assert rows(found) == [(10, 1), (10, 2), (10, 3)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+def test_areas_only(e, spark):
+    """The areas among all shapes, without a join for node members; an area whose ways make no ring is a line and isn't among them."""
+    more = Elements(**{**e.__dict__, "relation_tags": e.relation_tags.union(spark.createDataFrame([(45, 0, "type", "boundary")], e.relation_tags.schema)), "relation_members": e.relation_members.union(spark.createDataFrame([(45, 0, "way", 11, "outer"), (45, 1, "node", 4, "label")], e.relation_members.schema))})
+    shapes = {r.id: r for r in assemble.relation_geometries(more).collect()}
+    assert shapes[45].kind == "LineString" and [(p.lon, p.lat) for p in shapes[45].pts] == [(1, 1), (9, 9)] and not shapes[45].outers
+    assert {r.id: r for r in assemble.relation_geometries(more, areas_only=True).collect()} == {42: shapes[42]}
+
+
+def test_rings_of_many_relations_keep_apart():
+    rings = [[[(0.0, 1.0), (2.0, 3.0)], [(4.0, 5.0)]], [], [[(6.0, 7.0)]]]
+    found = assemble._ring_lists(rings).to_pylist()
+    assert [[[(p["lon"], p["lat"]) for p in ring] for ring in r] for r in found] == rings
+    assert assemble._ring_lists([[], []]).to_pylist() == [[], []]
