@@ -66,11 +66,25 @@ TASK_BYTES = "16m"
 SOURCES = ("part", "orders", "lineitem", "customer", "nation", "region", "events")
 
 
-def bound_tasks(spark: SparkSession) -> None:
-    """More data make more tasks, not larger ones."""
-    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, TASK_BYTES)
+#: Input bytes for each task of a shuffle: ids pack so well that 16 MB of them can be over a million rows.
+TASK_INPUT = 3 << 20
+
+
+def bound_tasks(spark: SparkSession, input_bytes: int = 0) -> None:
+    """More data make more tasks, not larger ones.
+
+    Spark joins small partitions up to the size of a task, but never cuts large ones, so the least number of both follows
+    the input. What the session says itself stays.
+    """
+    size, adaptive = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions"
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, TASK_BYTES)
+    tasks = -(-input_bytes // TASK_INPUT)
+    for name, least in (("initialPartitionNum", int(spark.conf.get("spark.sql.shuffle.partitions"))), ("minPartitionNum", spark.sparkContext.defaultParallelism)):
+        key, own = f"{adaptive}.{name}", f"quadrille.{name}"
+        if spark.conf.get(key, None) == spark.conf.get(own, None):  # not set, or set here for other tables
+            spark.conf.set(key, str(max(least, tasks)))
+            spark.conf.set(own, spark.conf.get(key))
 
 
 @dataclass(frozen=True)
@@ -90,8 +104,8 @@ class Elements:
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str) -> Elements:
         """Project the star-schema tables below ``sf_dir``; each is read only where a query needs it."""
-        bound_tasks(spark)
         known = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in SOURCES}
+        bound_tasks(spark, sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in known.values()))
         for name, text in PROJECTION.items():
             known[name] = spark.sql(text, **{t: df for t, df in known.items() if f"{{{t}}}" in text})
         return cls(**{f: known[f] for f in cls.__dataclass_fields__})

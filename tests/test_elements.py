@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import text, tiles
 from quadrille.operators import assemble, closure, select, spatial_join, tags
+from quadrille.sources import elements
 from quadrille.sources.elements import Elements
 
 
@@ -117,6 +118,22 @@ def test_references_are_read_once_for_whole_ways(e):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
 
 
+def test_more_input_makes_more_partitions_where_the_session_does_not_say(spark):
+    number, least = (f"spark.sql.adaptive.coalescePartitions.{n}" for n in ("initialPartitionNum", "minPartitionNum"))
+    given = {k: spark.conf.get(k, None) for k in (number, least)}
+    try:
+        elements.bound_tasks(spark, 600 * elements.TASK_INPUT)
+        assert (spark.conf.get(number), spark.conf.get(least)) == ("600", "600")
+        elements.bound_tasks(spark, 1)  # other tables in the same session
+        assert (spark.conf.get(number), spark.conf.get(least)) == ("4", "4")
+        spark.conf.set(number, "7")
+        elements.bound_tasks(spark, 600 * elements.TASK_INPUT)
+        assert spark.conf.get(number) == "7"
+    finally:
+        for k, v in given.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_areas_only(e, spark):
     """The areas among all shapes, without a join for node members; an area whose ways make no ring is a line and isn't among them."""
     more = Elements(**{**e.__dict__, "relation_tags": e.relation_tags.union(spark.createDataFrame([(45, 0, "type", "boundary")], e.relation_tags.schema)), "relation_members": e.relation_members.union(spark.createDataFrame([(45, 0, "way", 11, "outer"), (45, 1, "node", 4, "label")], e.relation_members.schema))})
