@@ -1150,12 +1150,11 @@ def graph_term_order(e):
     return mixed.orderBy(*terms.order(F.col("t"))).limit(60).select("t.kind", "t.value")
 
 
-@query(TRIPLES + " SELECT s, count(DISTINCT p) AS predicates, count(*) AS objects FROM (SELECT DISTINCT s, p, o FROM triples WHERE s NOT LIKE '/osm/way/%') GROUP BY s", *ALL)
+@query(TRIPLES + " SELECT s, count(DISTINCT p) AS predicates, count(*) AS objects FROM (SELECT DISTINCT s, p, o FROM triples) GROUP BY s", *ALL)
 def turtle_blocks(e):
     """Blocks of Turtle, counted again: a line for each predicate, objects in a row."""
-    t = rdf.element_triples(e).where("s NOT LIKE '/osm/way/%'")
     lines = F.regexp_count("value", F.lit(r" ;\n")) + 1
-    return rdf_text.turtle(t, "https://example.org").select("s", lines.cast("long").alias("predicates"), (F.regexp_count("value", F.lit(r", [\"<a-z]")) + lines).cast("long").alias("objects"))
+    return rdf_text.turtle(rdf.element_triples(e), "https://example.org").select("s", lines.cast("long").alias("predicates"), (F.regexp_count("value", F.lit(r", [\"<a-z]")) + lines).cast("long").alias("objects"))
 
 
 @query(DOCUMENT + " SELECT s, CASE dim WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' WHEN 2 THEN 'Polygon' END AS kind, count(tag) > 0 AS tagged FROM (SELECT s FROM subjects UNION SELECT s FROM geometry) LEFT JOIN geometry USING (s) LEFT JOIN subjects USING (s) GROUP BY s, dim", *BOXED)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import text, tiles
 from quadrille.operators import assemble, closure, select, spatial_join, tags
+from quadrille.plans import catalogue
 from quadrille.sources import elements
 from quadrille.sources.elements import Elements
 
@@ -147,3 +148,10 @@ def test_rings_of_many_relations_keep_apart():
     found = assemble._ring_lists(rings).to_pylist()
     assert [[[(p["lon"], p["lat"]) for p in ring] for ring in r] for r in found] == rings
     assert assemble._ring_lists([[], []]).to_pylist() == [[], []]
+
+
+def test_turtle_blocks_has_ways(e):
+    """A block for each node, way and relation; of the ways both have a type and an identifier, one a tag and its concept."""
+    got = {r[0]: r[1:] for r in (tuple(r) for r in catalogue.turtle_blocks(e).collect())}
+    assert len(got) == 4 + 2 + 3
+    assert got["/osm/way/10#id"] == (4, 4) and got["/osm/way/11#id"] == (2, 2)
